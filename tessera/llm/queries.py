@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontam, langid, licenses, line_dedup, mixing, quality, secret_scan, simhash, token_orc
+from tessera.llm import decontam, langid, licenses, line_dedup, mixing, quality, secret_scan, simhash, suffix_dedup, token_orc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_host_quality": quality.op6,
         "op7_language": langid.op7,
         "op8_license_scan": licenses.op8,
+        "op9_suffix_dedup": suffix_dedup.op9,
         "op10_mixture": mixing.op10,
     }
 
