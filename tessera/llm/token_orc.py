@@ -32,7 +32,6 @@ from tessera.session import cut, shared_dir
 END_ID = 0
 _MEMO = 600_000
 _CUT = re.compile(r" (?=\S)")
-_ODD = re.compile(r" (?:\s|$)")
 _SPECIAL = "<|"
 
 
@@ -43,7 +42,10 @@ def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
 
 
 class Encoder:
-    """Ids of whole texts by the tokenizers library, with a bounded memo of pieces."""
+    """Ids of whole texts by the tokenizers library, with a bounded memo of pieces.
+
+    A piece is kept without the space before it. It begins with a visible character and has no space within.
+    """
 
     def __init__(self, file: str) -> None:
         import os
@@ -52,41 +54,66 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
+        mark = self.tokenizer.encode(" ", add_special_tokens=False).tokens[0]
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.opens = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that begin with a space
+        self.opens[[i for t, i in vocabulary.items() if t.startswith(mark)]] = True
         self.memo: dict[str, bytes] = {}
 
     def plain(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
     def learn(self, pieces: list[str]) -> None:
-        """Encode new pieces. Each begins with a space and a visible character, so side by side they stay apart."""
+        """Encode new pieces side by side; each has one space, before it, so its ids begin where an id opens with a space."""
         if len(self.memo) + len(pieces) > _MEMO:
-            self.memo = {}
-        whole = self.tokenizer.encode("".join(pieces), add_special_tokens=False)
-        starts = np.fromiter((a for a, _ in whole.offsets), np.int64, len(whole.ids))
-        at = np.searchsorted(starts, np.cumsum([0, *map(len, pieces)]))
-        ids = np.array(whole.ids, "<u4")
-        for piece, a, b in zip(pieces, at[:-1].tolist(), at[1:].tolist(), strict=True):
-            self.memo[piece] = ids[a:b].tobytes()
+            self.memo.clear()
+        for low in range(0, len(pieces), 8192):
+            some = pieces[low : low + 8192]
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            at = np.flatnonzero(self.opens[ids]).tolist()
+            if len(at) == len(some):
+                whole = ids.tobytes()
+                self.memo.update((p, whole[4 * a : 4 * b]) for p, a, b in zip(some, at, [*at[1:], len(ids)], strict=True))
+            else:
+                self.memo.update((p, self.plain(" " + p)) for p in some)
+
+    def slowly(self, text: str) -> bytes:
+        """Of a text with runs of white space or special tokens."""
+        if _SPECIAL in text:
+            return self.plain(text)
+        first, *rest = _CUT.split(text)
+        return (self.plain(first) if first else b"") + b"".join([self.memo.get(p) or self.plain(" " + p) for p in rest])
 
     def encode(self, batch: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        cut_up: list[list[str] | None] = []
-        new: dict[str, None] = {}
-        memo = self.memo
-        for text in batch:
+        out: list[bytes | None] = []
+        late: list[tuple[int, list[str]]] = []
+        new: set[str] = set()
+        get = self.memo.get
+        for i, text in enumerate(batch):
             if _SPECIAL in text:
-                cut_up.append(None)
+                out.append(self.slowly(text))
                 continue
-            pieces = _CUT.split(text) if _ODD.search(text) else text.split(" ")
-            pieces = [pieces[0], *[" " + x for x in pieces[1:]]]
-            new.update(dict.fromkeys(x for x in pieces[1:] if x not in memo))
-            cut_up.append(pieces)
-        if new:
-            kept = {x: memo[x] for pieces in cut_up if pieces for x in pieces[1:] if x in memo} if len(memo) + len(new) > _MEMO else {}
-            self.learn(list(new))
-            self.memo.update(kept)
-            memo = self.memo
-        return [self.plain(t) if p is None else (self.plain(p[0]) if p[0] else b"") + b"".join([memo[x] for x in p[1:]]) for t, p in zip(batch, cut_up, strict=True)]
+            first, *pieces = text.split(" ")
+            ids = list(map(get, pieces))
+            if None in ids:
+                missing = {p for p, x in zip(pieces, ids, strict=True) if x is None}
+                if any(not p or p[0].isspace() for p in missing):
+                    out.append(self.slowly(text))
+                    continue
+                new |= missing
+                late.append((i, text.split(" ")))
+                out.append(None)
+            else:
+                out.append((self.plain(first) if first else b"") + b"".join(ids))
+        if late:
+            if len(self.memo) + len(new) > _MEMO:  # begin anew, with all that these texts need
+                self.memo.clear()
+                new = {p for _, pieces in late for p in pieces[1:]}
+            self.learn(sorted(new))
+            for i, (first, *pieces) in late:
+                out[i] = (self.plain(first) if first else b"") + b"".join([get(p) or self.plain(" " + p) for p in pieces])
+        return out
 
 
 @lru_cache(maxsize=2)
