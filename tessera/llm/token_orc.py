@@ -30,7 +30,7 @@ from tessera.llm._arrow import texts
 from tessera.session import cut, shared_dir
 
 END_ID = 0
-_MEMO = 600_000
+_MEMO = 1_000_000
 _CUT = re.compile(r" (?=\S)")
 _SPECIAL = "<|"
 
