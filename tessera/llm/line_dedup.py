@@ -31,7 +31,7 @@ _BLANK = b" \t\n\x0b\x0c\r"
 
 
 def _trim(line: Column) -> Column:
-    return F.regexp_replace(line, "^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$", "")
+    return F.btrim(line, F.lit(_BLANK.decode()))
 
 
 def _key(line: Column) -> list[Column]:
