@@ -20,6 +20,7 @@ import re
 import uuid
 import zlib
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -65,8 +66,6 @@ class Encoder:
 
     def learn(self, pieces: list[str]) -> None:
         """Encode new pieces side by side; each has one space, before it, so its ids begin where an id opens with a space."""
-        if len(self.memo) + len(pieces) > _MEMO:
-            self.memo.clear()
         for low in range(0, len(pieces), 8192):
             some = pieces[low : low + 8192]
             ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, "<u4")
@@ -86,33 +85,22 @@ class Encoder:
 
     def encode(self, batch: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        out: list[bytes | None] = []
-        late: list[tuple[int, list[str]]] = []
-        new: set[str] = set()
-        get = self.memo.get
-        for i, text in enumerate(batch):
-            if _SPECIAL in text:
+        cuts = [[] if _SPECIAL in text else text.split(" ") for text in batch]
+        seen: set[str] = set().union(*cuts)
+        new = seen.difference(self.memo)
+        odd = {p for p in new if not p or p[0].isspace()}  # these follow or are runs of white space
+        new -= odd
+        if len(self.memo) + len(new) > _MEMO:  # begin anew, with all that these texts need
+            self.memo.clear()
+            new = seen - odd
+        self.learn(list(new))
+        known = self.memo.__getitem__
+        out = []
+        for text, pieces in zip(batch, cuts, strict=True):
+            if not pieces or odd and not odd.isdisjoint(pieces):
                 out.append(self.slowly(text))
-                continue
-            first, *pieces = text.split(" ")
-            ids = list(map(get, pieces))
-            if None in ids:
-                missing = {p for p, x in zip(pieces, ids, strict=True) if x is None}
-                if any(not p or p[0].isspace() for p in missing):
-                    out.append(self.slowly(text))
-                    continue
-                new |= missing
-                late.append((i, text.split(" ")))
-                out.append(None)
             else:
-                out.append((self.plain(first) if first else b"") + b"".join(ids))
-        if late:
-            if len(self.memo) + len(new) > _MEMO:  # begin anew, with all that these texts need
-                self.memo.clear()
-                new = {p for _, pieces in late for p in pieces[1:]}
-            self.learn(sorted(new))
-            for i, (first, *pieces) in late:
-                out[i] = (self.plain(first) if first else b"") + b"".join([get(p) or self.plain(" " + p) for p in pieces])
+                out.append((self.plain(pieces[0]) if pieces[0] else b"") + b"".join(map(known, islice(pieces, 1, None))))
         return out
 
 
