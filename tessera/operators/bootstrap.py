@@ -75,6 +75,17 @@ def weighted_auroc(positive: np.ndarray, scores: np.ndarray, weights: np.ndarray
         return (p * (below + n / 2)).sum(axis=1) / (p.sum(axis=1) * n.sum(axis=1))
 
 
+#: Rows of a test set that may be collected and broadcast: some hundred MB.
+MOST_ROWS = 5_000_000
+
+
+def collected(rows: DataFrame, most: int = MOST_ROWS) -> pd.DataFrame:
+    """A test set for :func:`bootstrap_metric`, counted first; a larger one is an error, never cut. It belongs to :func:`delta_replicates`."""
+    if (n := rows.count()) > most:
+        raise ValueError(f"{n} rows are more than the {most} that are broadcast; use delta_replicates")
+    return rows.toPandas()
+
+
 def bootstrap_metric(spark: SparkSession, rows: pd.DataFrame, metric, n_boot: int = 2000, seed: int = 2026, block: int = 50) -> DataFrame:
     """(rep, value) of any metric of one test set (which fits a worker): blocks of replicates are dealt out over the cluster.
 

@@ -547,7 +547,7 @@ def paired_bootstrap(spark, d):
 
 @query()
 def bootstrap_blocks(spark, d):
-    rows = predictions(spark, d).select("y_true", "band", "group", F.get("probs", F.lit(0)).alias("score")).orderBy("group", "score").toPandas()
+    rows = bootstrap.collected(predictions(spark, d).select("y_true", "band", "group", F.get("probs", F.lit(0)).alias("score")).orderBy("group", "score"))
     return bootstrap.bootstrap_metric(spark, rows, lambda t, w: bootstrap.weighted_auroc((t["y_true"] == 0).to_numpy(), t["score"].to_numpy(), w), n_boot=40)
 
 

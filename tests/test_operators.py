@@ -196,3 +196,10 @@ def test_colour(spark):
     assert abs(by[1]["r"] - by[1]["g"]) < 0.06 and by[2]["r"] == pytest.approx(0.5)
     with pytest.raises(ValueError):
         colour.as_unit(df.drop("b"))
+
+
+def test_bootstrap_set_is_counted_before_it_is_collected(spark):
+    rows = spark.range(5).toDF("y_true")
+    assert len(bootstrap.collected(rows, 5)) == 5
+    with pytest.raises(ValueError, match="more than the 4"):
+        bootstrap.collected(rows, 4)
