@@ -242,3 +242,19 @@ def items_digest(names: Iterable[str]) -> str:
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     return digest(decontaminate(docs, items))
+
+
+OP1_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+i AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+w AS (SELECT DISTINCT item_id, least(len(ws), {WINDOW}) AS n, array_to_string(ws[p : p + {WINDOW - 1}], ' ') AS g
+      FROM (SELECT item_id, ws, unnest(range(1, greatest(2, len(ws) - {WINDOW - 2}))) AS p FROM i WHERE len(ws) > 0)),
+g AS (SELECT rid, n, p, array_to_string(ws[p : p + n - 1], ' ') AS g
+      FROM (SELECT rid, ws, n, unnest(range(1, len(ws) - n + 2)) AS p FROM d JOIN (SELECT DISTINCT n FROM w) ON len(ws) >= n)),
+o AS (SELECT rid, n, p, item_id FROM g JOIN w USING (n, g)),
+h AS (SELECT rid, count(DISTINCT q) AS n_hit FROM (SELECT rid, unnest(range(p, p + n)) AS q FROM o) GROUP BY rid),
+t AS (SELECT rid, list_sort(list(DISTINCT CAST(item_id AS VARCHAR)) FILTER (WHERE item_id IS NOT NULL)) AS items FROM o GROUP BY rid)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(len(items), 0) AS BIGINT) AS n_items,
+       sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (rid) LEFT JOIN t USING (rid)
+"""

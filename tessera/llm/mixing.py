@@ -12,7 +12,9 @@ their hashes, and stops before it would exceed the budget.
 
 Sizes per source come to the driver (one row a source). Which blocks the rest takes is a table of at most
 ``MAX_BLOCKS`` rows a source; documents meet it in a narrow pass while its counted rows fit a broadcast,
-else by a join, so texts are not shuffled. A hot source has more blocks, never one task.
+else by a join, so texts are not shuffled. A hot source has more blocks, never one task. While the block that
+is taken in part has more than ``part_docs`` documents, it is narrowed by sums over 4,096 stretches of its
+hashes to the one where the rest runs out, so what is sorted at last is bounded at every size of source.
 
 Tokens are words without ASCII white space unless a column is named. Documents without tokens are in
 every full pass and in the rest if their block is. A null source is the source ''. Repeated rows count.
@@ -30,7 +32,7 @@ from tessera.llm.quality import words_of
 from tessera.session import cut
 
 ENTROPY, MAX_REPEATS, SEED = 0.95, 4.0, 7
-BLOCK_DOCS, MAX_BLOCKS, BROADCAST_ROWS = 500, 4096, 200_000
+BLOCK_DOCS, MAX_BLOCKS, BROADCAST_ROWS, PART_DOCS, DIGITS = 500, 4096, 200_000, 100_000, 3
 
 
 def weights(tokens: dict[str, int], tau: float) -> dict[str, float]:
@@ -108,7 +110,7 @@ def sized(docs: DataFrame, doc_id: str, text: str, source: str, tokens: str | No
     return docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(source), F.lit("")).alias("source"), F.coalesce(n, F.lit(0).cast("long")).alias("n_tokens"))
 
 
-def mixture(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", tokens: str | None = None, seed: int = SEED, into: DataFrame | None = None, **options) -> DataFrame:
+def mixture(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", tokens: str | None = None, seed: int = SEED, into: DataFrame | None = None, part_docs: int = PART_DOCS, **options) -> DataFrame:
     """(doc_id, source, n_tokens, epoch, block_rank), a row for each time a document is taken.
 
     With ``into`` (the same documents, with other columns) its rows are returned instead, as often as they are taken.
@@ -126,14 +128,25 @@ def mixture(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", sour
 
     placed = dealt(rows, F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("source"))
     # Blocks in the order of the last, partial pass.
-    blocks = placed.groupBy("src", "block").agg(F.sum("n_tokens").alias("t"), F.first("passes").alias("passes"), F.first("rest").alias("rest"))
+    blocks = placed.groupBy("src", "block").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("n"), F.first("passes").alias("passes"), F.first("rest").alias("rest"))
     order = Window.partitionBy("src").orderBy(_hash(seed, F.col("src"), F.col("passes"), F.col("block")), "block")
     blocks = blocks.withColumn("before", F.sum("t").over(order) - F.col("t")).filter(F.col("before") < F.col("rest"))
-    blocks = cut(blocks.withColumn("room", F.col("rest") - F.col("before")).select("src", "block", "t", "room"))
-    # The one block a source that is taken in part: the last place that fits.
-    part = blocks.filter(F.col("t") > F.col("room"))
+    blocks = cut(blocks.withColumn("room", F.col("rest") - F.col("before")).select("src", "block", "t", "n", "room"))
+    # The one block a source that is taken in part: the last place that fits. ``part`` has a row a source.
+    part, digits = blocks.filter(F.col("t") > F.col("room")).select("src", "block", F.lit("").alias("stretch"), "n", "room"), 0
+
+    def inside() -> DataFrame:
+        return placed.withColumn("stretch", F.substring("mark", 1, digits)).join(F.broadcast(part.drop("n")), ["src", "block", "stretch"])
+
+    while digits < 30 and (part.agg(F.max("n")).first()[0] or 0) > part_docs:
+        finer = inside()
+        digits += DIGITS
+        finer = finer.withColumn("stretch", F.substring("mark", 1, digits)).groupBy("src", "block", "stretch").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("n"), F.first("room").alias("room"))
+        left = F.col("room") - F.sum("t").over(Window.partitionBy("src", "block").orderBy("stretch")) + F.col("t")
+        finer = finer.withColumn("left", left).filter((F.col("left") >= 0) & (F.col("left") < F.col("t")))
+        part = cut(finer.select("src", "block", "stretch", "n", F.col("left").alias("room")))
     run = F.sum("n_tokens").over(Window.partitionBy("src", "block").orderBy("mark", "n_tokens").rowsBetween(Window.unboundedPreceding, 0))
-    part = placed.join(part.drop("t"), ["src", "block"]).withColumn("run", run)
+    part = inside().withColumn("run", run)
     first_out = part.filter(F.col("run") > F.col("room")).groupBy("src", "block").agg(F.min(F.struct("mark", "n_tokens")).alias("stop"))
     taken = blocks.join(first_out, ["src", "block"], "left").select("src", "block", F.col("stop.mark").alias("stop_mark"), F.col("stop.n_tokens").alias("stop_n"))
     taken = cut(taken)

@@ -26,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_decontaminate": decontam.OP1_SQL,
         "op3_line_dedup": line_dedup.OP3_SQL,
         "op6_host_quality": quality.OP6_SQL,
         "op8_license_scan": licenses.OP8_SQL,

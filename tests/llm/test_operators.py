@@ -195,6 +195,9 @@ def test_mixture(spark, empty):
             assert sorted(r["doc_id"] for r in mine if r["epoch"] == epoch) == [d for d, _, _, s, _ in rows if (s or "") == name]
         assert len({(r["doc_id"], r["epoch"]) for r in mine}) == len(mine)
     again = mixing.mixture(docs, into=docs, block_docs=50)
+    plain = lambda rows: sorted((r["doc_id"], r["epoch"], r["block"]) for r in rows)
+    for part_docs in (1, 10, 40):  # narrowed by stretches or sorted at once: the same documents
+        assert plain(mixing.mixture(docs, block_docs=500, part_docs=part_docs).collect()) == plain(mixing.mixture(docs, block_docs=500).collect())
     assert again.columns == docs.columns and sorted(r["doc_id"] for r in again.collect()) == sorted(r["doc_id"] for r in got)
     assert mixing.mixture(empty).count() == 0
     assert mixing.temperature({"a": 900, "b": 10}, 910, target=1.0, max_repeats=2.0) < 1
@@ -220,7 +223,18 @@ def test_pipeline(spark):
 @pytest.mark.parametrize("name", sorted(oracle_sql()))
 def test_sql(spark, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     got = queries()[name](spark, SF)
     want = con.sql(oracle_sql()[name])
     same(got.select(*sorted(got.columns)).collect(), want.project(", ".join(sorted(want.columns))).fetchall())
+
+
+def test_decontaminate_sql_on_edge_cases(items):
+    import pandas as pd
+
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(pairs(), columns=["doc_id", "text"]))
+    con.register("benchmark", pd.DataFrame({"item_id": pd.array([i for i, _ in ITEMS], "Int64"), "text": [t for _, t in ITEMS]}))
+    got = con.sql(decontam.OP1_SQL).fetchall()
+    same(got, brute.op1(pairs(), ITEMS))
