@@ -18,7 +18,7 @@ row gets a row, repeated ones included; a null doc_id never names a component un
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -274,13 +274,13 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("value"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``docs`` without near-duplicates: of each component the document with the least doc_id stays.
+def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", search: Callable[..., DataFrame] = near_duplicates, **options) -> DataFrame:
+    """``docs`` without near-duplicates: of each component that ``search`` finds the document with the least doc_id stays.
 
     Rows that repeat a doc_id with the same text are one document. Documents without a doc_id cannot
     be named by a component; they stay, one of each text.
     """
-    found = near_duplicates(docs, doc_id=doc_id, text=text, **options)
+    found = search(docs, doc_id=doc_id, text=text, **options)
     kept = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
     row = Window.partitionBy(F.col(doc_id), F.xxhash64(F.col(text))).orderBy(F.lit(0))
     once = lambda rows: rows.withColumn("_row", F.row_number().over(row)).filter(F.col("_row") == 1).select(*docs.columns)

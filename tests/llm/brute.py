@@ -140,3 +140,14 @@ def op9(docs, size=200):
         spans = sum(1 for i, x in enumerate(gone) if x and not (i and gone[i - 1]))
         out.append((doc, len(data), sum(gone), spans, sha(bytes(b for b, x in zip(data, gone, strict=True) if not x))))
     return out
+
+
+def near_copies(docs, width=5, least=0.8):
+    """The least doc_id of each component of documents whose word shingles have this Jaccard similarity."""
+    sets = {}
+    for name, text in docs:
+        words = lower(text).split()
+        sets[name] = {tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
+    alike = lambda x, y: x == y or len(x & y) >= least * len(x | y)
+    found = components(list(sets), [(a, b) for a in sets for b in sets if a < b and alike(sets[a], sets[b])])
+    return set(found.values())

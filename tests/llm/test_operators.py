@@ -238,3 +238,26 @@ def test_decontaminate_sql_on_edge_cases(items):
     con.register("benchmark", pd.DataFrame({"item_id": pd.array([i for i, _ in ITEMS], "Int64"), "text": [t for _, t in ITEMS]}))
     got = con.sql(decontam.OP1_SQL).fetchall()
     same(got, brute.op1(pairs(), ITEMS))
+
+
+def test_near_dedup_stage_keeps_one_of_jaccard_neighbours(spark):
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(400)]
+    rows = []
+    for n in (3, 5, 9, 40, 64, 150):
+        for _ in range(4):
+            base = [rng.choice(words) for _ in range(n)]
+            rows.append(base)
+            for edits in (1, 1, 2, 3, 5):
+                copy = list(base)
+                for _ in range(edits):
+                    copy[rng.randrange(len(copy))] = rng.choice(words)
+                rows.append(rng.choice([copy, copy[: -len(copy) // 9 or None], [*copy, "tail"]]))
+    shared = [rng.choice(words) for _ in range(30)]  # one passage in many documents, most of which are not alike
+    rows += [[rng.choice(words) for _ in range(rng.choice([4, 60]))] + shared for _ in range(30)]
+    rng.shuffle(rows)
+    named = [(i, " ".join(r)) for i, r in enumerate(rows)] + [(1000, ""), (1001, " "), (1002, None)]
+    want = brute.near_copies(named)
+    docs = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in named], SCHEMA)
+    assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()} == want
+    assert want < {r["doc_id"] for r in simhash.one_of_each(docs).collect()}  # 3 bits of the sketch reach fewer
