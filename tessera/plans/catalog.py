@@ -241,7 +241,7 @@ def exact_duplicates(spark, d):
 
 
 def _hashes(spark, d):
-    return table(spark, d, "part").filter("p_partkey <= 2000").select("p_partkey", F.conv(F.substring(F.md5(F.col("p_name").cast("binary")), 1, 8), 16, 10).cast("long").bitwiseXOR(F.expr("shiftleft(1L, cast(p_partkey % 31 as int))")).alias("h"))
+    return table(spark, d, "part").select("p_partkey", F.conv(F.substring(F.md5(F.col("p_name").cast("binary")), 1, 8), 16, 10).cast("long").bitwiseXOR(F.expr("shiftleft(1L, cast(p_partkey % 31 as int))")).alias("h"))
 
 
 HS = "h AS (SELECT p_partkey, xor(('0x' || substr(md5(p_name), 1, 8))::BIGINT, 1::BIGINT << CAST(p_partkey % 31 AS INT)) AS h FROM part WHERE p_partkey <= 2000)"
