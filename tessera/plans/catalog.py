@@ -266,7 +266,7 @@ def cluster_labels(spark, d):
 
 @query("SELECT x.vec_id AS a, y.vec_id AS b, round(list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]), 6) AS cosine FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id AND list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) >= 0.35 WHERE x.vec_id < 500 AND y.vec_id < 500")
 def cosine_pairs(spark, d):
-    return rounded(dedup.cosine_pairs(table(spark, d, "embeddings").filter("vec_id < 500"), key="vec_id", vector="embedding", least=0.35))
+    return rounded(dedup.cosine_pairs(table(spark, d, "embeddings"), key="vec_id", vector="embedding", least=0.35))
 
 
 # ---- skin tone and colour

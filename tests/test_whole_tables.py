@@ -28,3 +28,14 @@ def test_hash_pairs_and_clusters_over_all_of_part(spark, part):
     assert {r["p_partkey"]: r["cluster"] for r in catalog.queries()["duplicate_clusters"](spark, part).collect()} == up
     order = {c: i for i, c in enumerate(sorted(set(up.values())))}
     assert {r["p_partkey"]: r["label"] for r in catalog.queries()["cluster_labels"](spark, part).collect()} == {k: order[c] for k, c in up.items()}
+
+
+def test_cosine_pairs_over_all_embeddings(spark, tmp_path):
+    rows = [(k, [float((k * j) % 7 - 3) for j in range(1, 9)]) for k in range(490, 512)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    dot = lambda x, y: sum(p * q for p, q in zip(x, y, strict=True))
+    cosine = lambda x, y: dot(x, y) / (dot(x, x) * dot(y, y)) ** 0.5 if dot(x, x) * dot(y, y) else 0.0
+    want = {(a, b): cosine(x, y) for a, x in rows for b, y in rows if a < b and cosine(x, y) >= 0.35}
+    assert any(b >= 500 for _, b in want)
+    got = {(r["a"], r["b"]): r["cosine"] for r in catalog.queries()["cosine_pairs"](spark, str(tmp_path)).collect()}
+    assert got == pytest.approx(want, abs=1e-6)
