@@ -618,7 +618,7 @@ def caption_routes(spark, d):
     def model(ask: str) -> str:
         return "A clinical photograph showing " + ("economy" if "broke these rules" in ask else "an erythematous plaque")
 
-    out = captions.generate_captions(reported(spark, d).filter("p_partkey <= 200"), model, key="p_partkey")
+    out = captions.generate_captions(reported(spark, d), model, key="p_partkey")
     return out.groupBy("route", "flagged").agg(F.count("*").alias("n"))
 
 

@@ -39,3 +39,7 @@ def test_cosine_pairs_over_all_embeddings(spark, tmp_path):
     assert any(b >= 500 for _, b in want)
     got = {(r["a"], r["b"]): r["cosine"] for r in catalog.queries()["cosine_pairs"](spark, str(tmp_path)).collect()}
     assert got == pytest.approx(want, abs=1e-6)
+
+
+def test_caption_routes_over_all_of_part(spark, part):
+    assert sum(r["n"] for r in catalog.queries()["caption_routes"](spark, part).collect()) == 120
