@@ -45,3 +45,9 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and go on from there (reliable, survives lost executors)."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system that nothing reads any more."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
