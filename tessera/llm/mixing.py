@@ -1,23 +1,26 @@
 """Mixing sources to target weights by temperature.
 
 A source's weight is its token share to the power tau, normalised. Tau falls from 1 (natural shares)
-towards 0 (equal shares) and is bisected until the weights' entropy reaches ``entropy`` of the most
-possible; if then some source would be repeated more than ``max_repeats`` times within the budget, tau is
+towards 0 (equal shares) and is bisected until the weights' entropy has closed ``closing`` of the gap between
+the natural shares' entropy and the most possible (or has reached ``target`` of the most possible, where that is
+given); if then some source would be repeated more than ``max_repeats`` times within the budget, tau is
 bisected upwards until none is.
 
 The weights are realised as budgeted block permutations. Documents are dealt to blocks of their source
 by a hash. A source's token budget is a number of full passes and a rest. Each pass has its own order of
-blocks; the rest takes whole blocks in that order, then documents of one more block in the order of
-their hashes, and stops before it would exceed the budget.
-
-Sizes per source come to the driver (one row a source). Which blocks the rest takes is a table of at most
-``MAX_BLOCKS`` rows a source; documents meet it in a narrow pass while its counted rows fit a broadcast,
-else by a join, so texts are not shuffled. A hot source has more blocks, never one task. While the block that
-is taken in part has more than ``part_docs`` documents, it is narrowed by sums over 4,096 stretches of its
-hashes to the one where the rest runs out, so what is sorted at last is bounded at every size of source.
-
-Tokens are words without ASCII white space unless a column is named. Documents without tokens are in
-every full pass and in the rest if their block is. A null source is the source ''. Repeated rows count.
+blocks, and documents follow each other within a block by their hash: ``position`` numbers the documents of
+a source in that order. The rest is one more, partial pass: whole blocks in their order, then documents of
+one more block, up to the budget and never beyond it.
+
+Sizes per source come to the driver, at most ``MAX_SOURCES`` of them. Narrow rows (no texts) are numbered
+within blocks by one window over (source, block); a hot source has more blocks, never one task. What each
+pass takes of a block is a table of at most ``MAX_BLOCKS`` rows a source and pass, broadcast while its counted
+rows are few, else joined. So texts are not shuffled.
+
+Tokens are words without ASCII white space unless a column is named; null and empty texts have none, and a very
+long text is one document like any other. Documents without tokens are in every full pass and in the rest if
+their place is. A null source is the source ''; a null doc_id is a document of its own. Repeated rows each
+count, share their places' hash and are taken or left together. Ties of the hash go by tokens. No rows give no rows.
 """
 
 from __future__ import annotations
@@ -28,11 +31,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.llm._rows import packed
 from tessera.llm.quality import words_of
 from tessera.session import cut
 
-ENTROPY, MAX_REPEATS, SEED = 0.95, 4.0, 7
-BLOCK_DOCS, MAX_BLOCKS, BROADCAST_ROWS, PART_DOCS, DIGITS = 500, 4096, 200_000, 100_000, 3
+CLOSING, MAX_REPEATS, SEED = 0.5, 4.0, 7
+BLOCK_DOCS, MAX_BLOCKS, BROADCAST_ROWS, MAX_SOURCES = 500, 4096, 200_000, 100_000
 
 
 def weights(tokens: dict[str, int], tau: float) -> dict[str, float]:
@@ -58,11 +62,12 @@ def bisect(good, low: float, high: float, steps: int = 60) -> float:
     return high
 
 
-def temperature(tokens: dict[str, int], budget: int, *, target: float = ENTROPY, max_repeats: float = MAX_REPEATS) -> float:
+def temperature(tokens: dict[str, int], budget: int, *, closing: float = CLOSING, target: float | None = None, max_repeats: float = MAX_REPEATS) -> float:
     some = sum(1 for n in tokens.values() if n)
-    aim = target * math.log(some) if some else 0.0
+    natural, most = entropy(weights(tokens, 1.0)), math.log(some) if some else 0.0
+    aim = natural + closing * (most - natural) if target is None else target * most
     tau = 1.0
-    if entropy(weights(tokens, 1.0)) < aim:
+    if natural < aim - 1e-12:
         tau = 1 - bisect(lambda x: entropy(weights(tokens, 1 - x)) >= aim, 0.0, 1.0)
     if repeats(tokens, weights(tokens, tau), budget) > max_repeats:
         if repeats(tokens, weights(tokens, 1.0), budget) > max_repeats:
@@ -83,12 +88,12 @@ class Share:
     blocks: int
 
 
-def plan(sizes: dict[str, tuple[int, int]], *, budget: int | None = None, target: float = ENTROPY, max_repeats: float = MAX_REPEATS, block_docs: int = BLOCK_DOCS) -> list[Share]:
-    """What each source gives. ``sizes``: source -> (documents, tokens)."""
+def plan(sizes: dict[str, tuple[int, int]], *, budget: int | None = None, block_docs: int = BLOCK_DOCS, **options) -> list[Share]:
+    """What each source gives. ``sizes``: source -> (documents, tokens); the budget is all tokens unless given."""
     tokens = {k: n for k, (_, n) in sizes.items()}
     total = sum(tokens.values())
     budget = total if budget is None else budget
-    shares = weights(tokens, temperature(tokens, budget, target=target, max_repeats=max_repeats)) if total else dict.fromkeys(tokens, 0.0)
+    shares = weights(tokens, temperature(tokens, budget, **options)) if total else dict.fromkeys(tokens, 0.0)
     out = []
     for k, (docs, n) in sorted(sizes.items()):
         mine = round(shares[k] * budget)
@@ -105,68 +110,87 @@ def _number(digest: Column) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
 
 
-def sized(docs: DataFrame, doc_id: str, text: str, source: str, tokens: str | None) -> DataFrame:
-    n = F.col(tokens).cast("long") if tokens else F.size(words_of(F.coalesce(F.col(text), F.lit("")))).cast("long")
-    return docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(source), F.lit("")).alias("source"), F.coalesce(n, F.lit(0).cast("long")).alias("n_tokens"))
+def _few(table: DataFrame) -> DataFrame:
+    """``table``, to be broadcast if its rows are few enough."""
+    table = cut(table)
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
 
 
-def mixture(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", tokens: str | None = None, seed: int = SEED, into: DataFrame | None = None, part_docs: int = PART_DOCS, **options) -> DataFrame:
-    """(doc_id, source, n_tokens, epoch, block_rank), a row for each time a document is taken.
+def mixture(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", tokens: str | None = None, seed: int = SEED, into: DataFrame | None = None, **options) -> DataFrame:
+    """(doc_id, source, n_tokens, epoch, block, position), a row for each time a document is taken.
 
-    With ``into`` (the same documents, with other columns) its rows are returned instead, as often as they are taken.
+    ``position`` is the document's place, from 0, in its source's order of that epoch. With ``into`` (the same
+    documents, with other columns) its rows are returned instead, as often as they are taken.
     """
     spark = docs.sparkSession
-    rows = cut(sized(docs, doc_id, text, source, tokens))
-    sizes = {r["source"]: (r["n"], r["t"]) for r in rows.groupBy("source").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("t")).collect()}  # a row a source
-    shares = plan(sizes, **options)
-    by_source = F.broadcast(spark.createDataFrame([(s.source, s.passes, s.rest, s.blocks) for s in shares], "src string, passes long, rest long, blocks long"))  # a row a source
-
-    def dealt(frame: DataFrame, key: Column, of: Column) -> DataFrame:
-        """``frame`` with its source's plan, its block and its place in the block's order."""
-        mark = _hash(seed, key)
-        return frame.join(by_source, of == F.col("src")).withColumn("block", F.pmod(_number(mark), F.col("blocks"))).withColumn("mark", mark)
-
-    placed = dealt(rows, F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("source"))
-    # Blocks in the order of the last, partial pass.
-    blocks = placed.groupBy("src", "block").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("n"), F.first("passes").alias("passes"), F.first("rest").alias("rest"))
-    order = Window.partitionBy("src").orderBy(_hash(seed, F.col("src"), F.col("passes"), F.col("block")), "block")
-    blocks = blocks.withColumn("before", F.sum("t").over(order) - F.col("t")).filter(F.col("before") < F.col("rest"))
-    blocks = cut(blocks.withColumn("room", F.col("rest") - F.col("before")).select("src", "block", "t", "n", "room"))
-    # The one block a source that is taken in part: the last place that fits. ``part`` has a row a source.
-    part, digits = blocks.filter(F.col("t") > F.col("room")).select("src", "block", F.lit("").alias("stretch"), "n", "room"), 0
-
-    def inside() -> DataFrame:
-        return placed.withColumn("stretch", F.substring("mark", 1, digits)).join(F.broadcast(part.drop("n")), ["src", "block", "stretch"])
-
-    while digits < 30 and (part.agg(F.max("n")).first()[0] or 0) > part_docs:
-        finer = inside()
-        digits += DIGITS
-        finer = finer.withColumn("stretch", F.substring("mark", 1, digits)).groupBy("src", "block", "stretch").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("n"), F.first("room").alias("room"))
-        left = F.col("room") - F.sum("t").over(Window.partitionBy("src", "block").orderBy("stretch")) + F.col("t")
-        finer = finer.withColumn("left", left).filter((F.col("left") >= 0) & (F.col("left") < F.col("t")))
-        part = cut(finer.select("src", "block", "stretch", "n", F.col("left").alias("room")))
-    run = F.sum("n_tokens").over(Window.partitionBy("src", "block").orderBy("mark", "n_tokens").rowsBetween(Window.unboundedPreceding, 0))
-    part = inside().withColumn("run", run)
-    first_out = part.filter(F.col("run") > F.col("room")).groupBy("src", "block").agg(F.min(F.struct("mark", "n_tokens")).alias("stop"))
-    taken = blocks.join(first_out, ["src", "block"], "left").select("src", "block", F.col("stop.mark").alias("stop_mark"), F.col("stop.n_tokens").alias("stop_n"))
-    taken = cut(taken)
-    small = taken.count() <= BROADCAST_ROWS
-    if into is not None:
-        columns = into.columns
-        names = {c: f"_c{i}" for i, c in enumerate(columns)}
-        held = into.select(*[F.col(f"`{c}`").alias(names[c]) for c in columns])
-        n = F.col(names[tokens]).cast("long") if tokens else F.size(words_of(F.coalesce(F.col(names[text]), F.lit("")))).cast("long")
-        key, of = F.coalesce(F.col(names[doc_id]).cast("string"), F.lit("")), F.coalesce(F.col(names[source]), F.lit(""))
-        placed = dealt(held.withColumn("n_tokens", F.coalesce(n, F.lit(0).cast("long"))), key, of)
-    met = placed.join((F.broadcast(taken) if small else taken).withColumn("hit", F.lit(True)), ["src", "block"], "left")
-    before_stop = F.col("stop_mark").isNull() | (F.struct("mark", "n_tokens") < F.struct(F.col("stop_mark").alias("mark"), F.col("stop_n").alias("n_tokens")))
-    times = F.col("passes") + F.when(F.coalesce("hit", F.lit(False)) & before_stop, 1).otherwise(0)
-    met = met.filter(times > 0).withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), times - 1)))
+
+    def sized(frame: DataFrame) -> DataFrame:
+        held = packed(frame)
+        at = lambda name: F.col(f"row.`{name}`")
+        n = at(tokens).cast("long") if tokens else F.size(words_of(F.coalesce(at(text), F.lit("")))).cast("long")
+        mark = _hash(seed, F.coalesce(at(doc_id).cast("string"), F.lit("")))
+        return held.withColumns({"doc_id": at(doc_id), "source": F.coalesce(at(source), F.lit("")), "n_tokens": F.coalesce(n, F.lit(0).cast("long")), "mark": mark})
+
+    rows = cut(sized(docs).drop("row"))
+    counted = cut(rows.groupBy("source").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("t")))
+    if (found := counted.count()) > MAX_SOURCES:
+        raise ValueError(f"{found} sources; at most {MAX_SOURCES} can be weighed at once")
+    shares = plan({r["source"]: (r["n"], r["t"]) for r in counted.collect()}, **options)
+    by_source = F.broadcast(spark.createDataFrame([(s.source, s.passes, s.rest, s.blocks) for s in shares], "source string, passes long, rest long, blocks long"))  # MAX_SOURCES rows at most
+
+    def dealt(frame: DataFrame) -> DataFrame:
+        return frame.join(by_source, "source").withColumn("block", F.pmod(_number(F.col("mark")), F.col("blocks")))
+
+    within = Window.partitionBy("source", "block").orderBy("mark", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
+    placed = dealt(rows).withColumn("place", F.count("*").over(within) - 1).withColumn("run", F.sum("n_tokens").over(within))
+    blocks = dealt(rows).groupBy("source", "block", "passes", "rest").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("n"))
+    blocks = blocks.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("passes"))))
+    order = Window.partitionBy("source", "epoch").orderBy(_hash(seed, F.col("source"), F.col("epoch"), F.col("block")), "block")
+    before = blocks.withColumn("first", F.sum("n").over(order) - F.col("n")).withColumn("room", F.when(F.col("epoch") == F.col("passes"), F.col("rest") - F.sum("t").over(order) + F.col("t")))
+    before = cut(before.filter(F.coalesce(F.col("room") > 0, F.lit(True))))
+    # The one block a source that is taken in part, up to the first document that does not fit.
+    part = before.filter(F.col("t") > F.col("room")).select("source", "block", "room")
+    stops = placed.join(F.broadcast(part), ["source", "block"]).filter(F.col("run") > F.col("room")).groupBy("source", "block").agg(F.min(F.struct("mark", "n_tokens")).alias("stop"))
+    taken = before.select("source", "block", "epoch", "passes", "first").join(stops, ["source", "block"], "left")
+    taken = _few(taken.select("source", "block", "epoch", "first", F.when(F.col("epoch") == F.col("passes"), F.col("stop")).alias("stop")))
+    met = (placed if into is None else dealt(sized(into))).select("source", "block", "mark", "n_tokens", *(["doc_id", "place"] if into is None else ["row"])).join(taken, ["source", "block"])
+    met = met.filter(F.col("stop").isNull() | (F.struct("mark", "n_tokens") < F.col("stop")))
     if into is not None:
-        return met.select(*[F.col(names[c]).alias(c) for c in columns])
-    ranked = F.substring(_hash(seed, F.col("src"), F.col("epoch"), F.col("block")), 1, 8)
-    return met.select("doc_id", "source", "n_tokens", "epoch", "block", ranked.alias("block_rank"))
+        return met.select("row.*")
+    return met.select("doc_id", "source", "n_tokens", "epoch", "block", (F.col("first") + F.col("place")).alias("position"))
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def _bisected(name: str, low: str, test: str, start: str) -> str:
+    """SQL of :func:`bisect` in 60 steps: ``test`` is over tau ``x``, with w the raised shares and z their sum; ``low`` and ``start`` give the first ends."""
+    return f"""{name}(step, low, high) AS (SELECT 0, {low}, 1.0::DOUBLE {start} UNION ALL SELECT step + 1, CASE WHEN good THEN low ELSE m END, CASE WHEN good THEN m ELSE high END
+  FROM (SELECT step, low, high, m, {test} AS good FROM (SELECT *, list_sum(w) AS z FROM (SELECT *, list_transform(t, lambda n: pow(n / total, x)) AS w FROM (SELECT *, {'1 - m' if name == 'b' else 'm'} AS x FROM (SELECT {name}.*, (low + high) / 2 AS m, l.* FROM {name}, l WHERE step < 60))))))"""
+
+
+_ENTROPY = "ln(z) - list_sum(list_transform(w, lambda v: v * ln(v))) / z"
+_REPEATS = "list_max(list_transform(t, lambda n: pow(n / total, x - 1))) / z"
+OP10_SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(source, '') AS source, CAST(len(list_filter(string_split_regex(coalesce(text, ''), '[ 	-]+'), lambda x: x <> '')) AS BIGINT) AS n_tokens,
+       md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS mark FROM documents),
+s AS (SELECT source, count(*) AS docs, CAST(sum(n_tokens) AS BIGINT) AS tokens FROM d GROUP BY source),
+l0 AS (SELECT list(CAST(tokens AS DOUBLE) ORDER BY source) AS t, CAST(sum(tokens) AS DOUBLE) AS total FROM s WHERE tokens > 0),
+l AS (SELECT t, total, h + {CLOSING} * (ln(len(t)) - h) AS aim, h < h + {CLOSING} * (ln(len(t)) - h) - 1e-12 AS uneven FROM (SELECT *, -list_sum(list_transform(t, lambda n: n / total * ln(n / total))) AS h FROM l0)),
+{_bisected('b', '0.0::DOUBLE', f'{_ENTROPY} >= aim', '')},
+tau AS (SELECT CASE WHEN uneven THEN 1 - high ELSE 1.0 END AS x FROM b, l WHERE step = 60),
+c0 AS (SELECT *, list_sum(list_transform(t, lambda n: pow(n / total, x))) AS z FROM tau, l),
+{_bisected('c', 'x', f'{_REPEATS} <= {MAX_REPEATS}', 'FROM tau')},
+e AS (SELECT CASE WHEN {_REPEATS} > {MAX_REPEATS} THEN high ELSE x END AS x, t, total FROM c, c0 WHERE step = 60),
+p AS (SELECT source, docs, tokens, least({MAX_BLOCKS}, greatest(1, CAST(ceil(docs / {float(BLOCK_DOCS)}) AS BIGINT))) AS blocks,
+       CASE WHEN tokens > 0 THEN CAST(round_even(pow(tokens / total, x) / list_sum(list_transform(t, lambda n: pow(n / total, x))) * total, 0) AS BIGINT) END AS mine FROM s LEFT JOIN e ON true),
+q AS (SELECT *, CASE WHEN tokens > 0 THEN mine // tokens ELSE 1 END AS passes, CASE WHEN tokens > 0 THEN mine % tokens ELSE 0 END AS rest FROM p),
+g AS (SELECT d.*, passes, rest, ('0x' || substr(mark, 1, 8))::BIGINT % blocks AS block FROM d JOIN q USING (source)),
+r AS (SELECT *, row_number() OVER o - 1 AS place, sum(n_tokens) OVER (o ROWS UNBOUNDED PRECEDING) AS run FROM g WINDOW o AS (PARTITION BY source, block ORDER BY mark, n_tokens)),
+k AS (SELECT *, sum(n) OVER o - n AS first, CASE WHEN epoch = passes THEN rest - sum(t) OVER o + t END AS room
+      FROM (SELECT source, block, passes, rest, sum(n_tokens) AS t, count(*) AS n, unnest(range(passes + 1)) AS epoch FROM g GROUP BY source, block, passes, rest)
+      WINDOW o AS (PARTITION BY source, epoch ORDER BY md5(concat_ws(':', '{SEED}', source, epoch, block)), block)),
+y AS (SELECT k.*, (SELECT min((mark, n_tokens)) FROM r WHERE r.source = k.source AND r.block = k.block AND run > room) AS stop FROM k WHERE coalesce(room > 0, true))
+SELECT doc_id, source, n_tokens, epoch, block, CAST(first + place AS BIGINT) AS position FROM r JOIN y USING (source, block) WHERE stop IS NULL OR (mark, n_tokens) < stop
+"""

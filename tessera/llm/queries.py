@@ -30,4 +30,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_line_dedup": line_dedup.OP3_SQL,
         "op6_host_quality": quality.OP6_SQL,
         "op8_license_scan": licenses.OP8_SQL,
+        "op10_mixture": mixing.OP10_SQL,
     }

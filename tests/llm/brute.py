@@ -1,6 +1,7 @@
 """Plain versions of the operators' contracts, for comparison on small inputs."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -151,3 +152,40 @@ def near_copies(docs, width=5, least=0.8):
     alike = lambda x, y: x == y or len(x & y) >= least * len(x | y)
     found = components(list(sets), [(a, b) for a in sets for b in sets if a < b and alike(sets[a], sets[b])])
     return set(found.values())
+
+
+def mixture(docs, closing=0.5, block_docs=500, seed=7):
+    """docs: (id, text, source). (id, source, tokens, epoch, block, position) of every time a document is taken."""
+    md5 = lambda *parts: hashlib.md5(":".join(map(str, parts)).encode()).hexdigest()
+    rows = defaultdict(list)
+    for doc, text, source in docs:
+        rows[source or ""].append((md5(seed, "" if doc is None else doc), len(VISIBLE.findall(text or "")), doc))
+    tokens = {s: sum(n for _, n, _ in r) for s, r in sorted(rows.items())}
+    total = sum(tokens.values())
+
+    def shares(tau):
+        raised = {s: (n / total) ** tau for s, n in tokens.items() if n}
+        return {s: x / sum(raised.values()) for s, x in raised.items()}
+
+    spread = lambda p: -sum(x * math.log(x) for x in p.values())
+    low, high = 0.0, 1.0  # the entropy falls as tau grows
+    aim = spread(shares(1)) + closing * (math.log(len(shares(1))) - spread(shares(1))) if total else 0
+    for _ in range(200):
+        middle = (low + high) / 2
+        low, high = (middle, high) if total and spread(shares(middle)) >= aim else (low, middle)
+    out = []
+    for source, mine in rows.items():
+        n_blocks = max(1, -(-len(mine) // block_docs))
+        blocks = defaultdict(list)
+        for row in sorted(mine, key=lambda r: r[:2]):
+            blocks[int(row[0][:8], 16) % n_blocks].append(row)
+        passes, left = divmod(round(shares(low)[source] * total), tokens[source]) if tokens[source] else (1, 0)
+        for epoch in range(passes + (left > 0)):
+            order = sorted(blocks, key=lambda b, e=epoch: (md5(seed, source, e, b), b))
+            line = [(b, i, *row) for b in order for i, row in enumerate(blocks[b])]
+            for at, (b, i, _, n, doc) in enumerate(line):
+                if epoch == passes and (n > left or not left and not i):
+                    break
+                left -= n if epoch == passes else 0
+                out.append((doc, source, n, epoch, b, at))
+    return out
