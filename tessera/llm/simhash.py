@@ -22,10 +22,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm._arrow import LOWER, texts
+from tessera.llm._rows import packed
 from tessera.operators.components import connected_components
 from tessera.session import cut
 
@@ -277,12 +278,14 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", search: Callable[..., DataFrame] = near_duplicates, **options) -> DataFrame:
     """``docs`` without near-duplicates: of each component that ``search`` finds the document with the least doc_id stays.
 
-    Rows that repeat a doc_id with the same text are one document. Documents without a doc_id cannot
-    be named by a component; they stay, one of each text.
+    Rows that repeat a doc_id with the same text are one document, and the one whose other columns come
+    first, read as text and in their order, stays. Documents without a doc_id cannot be named by a component;
+    they stay, one of each text. Columns of any name are carried. No rows give no rows.
     """
     found = search(docs, doc_id=doc_id, text=text, **options)
-    kept = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
-    row = Window.partitionBy(F.col(doc_id), F.xxhash64(F.col(text))).orderBy(F.lit(0))
-    once = lambda rows: rows.withColumn("_row", F.row_number().over(row)).filter(F.col("_row") == 1).select(*docs.columns)
-    named = docs.join(kept, F.col(doc_id) == F.col("_kept"), "left_semi")
-    return once(named).unionByName(once(docs.filter(F.col(doc_id).isNull())))
+    kept = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    rows = packed(docs)
+    rows = rows.select(F.col(f"row.`{doc_id}`").alias("doc_id"), F.col(f"row.`{text}`").alias("text"), "row")
+    others = [F.col(f"row.`{c}`").cast("string") for c in docs.columns if c not in (doc_id, text)] or [F.lit(0)]
+    once = lambda some: some.groupBy("doc_id", "text").agg(F.min_by("row", F.struct(*others)).alias("row")).select("row.*")
+    return once(rows.join(kept, "doc_id", "left_semi")).unionByName(once(rows.filter(F.col("doc_id").isNull())))
