@@ -27,10 +27,10 @@ def ita(lightness: Column, b: Column) -> Column:
 
 
 def classify(angle: Column) -> Column:
-    """struct(chardon, fitzpatrick_group, band); all ``uncertain`` unless finite."""
+    """struct(chardon, fitzpatrick_group, band); unless the angle is finite, no class and no group, and the band is ``uncertain``."""
     parts = []
-    for place, name in ((2, "chardon"), (3, "fitzpatrick_group"), (4, "band")):
-        c = F.when(~finite(angle), "uncertain")
+    for place, name, unknown in ((2, "chardon", None), (3, "fitzpatrick_group", None), (4, "band", "uncertain")):
+        c = F.when(~finite(angle), F.lit(unknown).cast("string"))
         for row in BINS[:-1]:
             c = c.when(angle > row[0], row[place])
         parts.append(c.otherwise(BINS[-1][place]).alias(name))

@@ -272,8 +272,8 @@ def cosine_pairs(spark, d):
 # ---- skin tone and colour
 
 IT = "i AS (SELECT l_orderkey, l_linenumber, 30 + l_quantity AS L, (l_linenumber - 4) * 5.0::DOUBLE AS b, CASE WHEN abs((l_linenumber - 4) * 5.0::DOUBLE) >= 1e-8 THEN degrees(atan((l_quantity - 20) / ((l_linenumber - 4) * 5.0::DOUBLE))) END AS ita FROM lineitem)"
-CLS = "CASE WHEN ita IS NULL THEN 'uncertain' WHEN ita > 55 THEN '{}' WHEN ita > 41 THEN '{}' WHEN ita > 28 THEN '{}' WHEN ita > 10 THEN '{}' WHEN ita > -30 THEN '{}' ELSE '{}' END"
-_NAMES = [[row[i] for row in tone.BINS] for i in (2, 3, 4)]
+CLS = "CASE WHEN ita IS NULL THEN {} WHEN ita > 55 THEN '{}' WHEN ita > 41 THEN '{}' WHEN ita > 28 THEN '{}' WHEN ita > 10 THEN '{}' WHEN ita > -30 THEN '{}' ELSE '{}' END"
+_NAMES = [["NULL", *(row[2] for row in tone.BINS)], ["NULL", *(row[3] for row in tone.BINS)], ["'uncertain'", *(row[4] for row in tone.BINS)]]
 
 
 def pixels(spark, d):

@@ -1,5 +1,6 @@
 """Published anchors, boundaries and invariants of the audit and evaluation operators."""
 
+import json
 import math
 
 import numpy as np
@@ -40,10 +41,12 @@ def test_curve_anchors(spark, fit):
 
 
 def test_tone_boundaries(spark):
-    cases = {70.0: "very light", 55.0: "light", 45.0: "light", 41.0: "intermediate", 30.0: "intermediate", 28.001: "intermediate", 28.0: "tan", 15.0: "tan", 10.0: "brown", -20.0: "brown", -30.0: "dark", -50.0: "dark", math.nan: "uncertain", math.inf: "uncertain"}
+    cases = {70.0: "very light", 55.0: "light", 45.0: "light", 41.0: "intermediate", 30.0: "intermediate", 28.001: "intermediate", 28.0: "tan", 15.0: "tan", 10.0: "brown", -20.0: "brown", -30.0: "dark", -50.0: "dark", math.nan: None, math.inf: None}
     df = spark.createDataFrame([(k,) for k in cases] + [(None,)], "ita double").select("ita", tone.classify(F.col("ita")).alias("c"))
     for r in df.collect():
-        assert r["c"]["chardon"] == ("uncertain" if r["ita"] is None or math.isnan(r["ita"]) else cases[r["ita"]])
+        known = r["ita"] is not None and math.isfinite(r["ita"])
+        assert r["c"]["chardon"] == (cases[r["ita"]] if known else None)
+        assert known or (r["c"]["fitzpatrick_group"], r["c"]["band"]) == (None, "uncertain")
     assert spark.range(1).select(tone.ita(F.lit(65.0), F.lit(12.0))).first()[0] == pytest.approx(51.34, abs=0.01)
 
 
@@ -160,11 +163,24 @@ def test_reports_and_captions(spark, tmp_path):
     assert df.select(captions.template_caption(F.col("report"))).first()[0] == "A clinical photograph showing tinea corporis on the forearm."
     assert set(df.select(captions.verified(F.col("report"))).first()[0]) == {"case_id", "disease_label", "analysis_band", "anatomical_site"}
     assert reports.coverage(df).count() == 17
-    values = {"anatomical_site": "Forearm", "lesion_morphology": reports.NOT_RECORDED, "disease_label": "Tinea corporis"}
-    for said, kind in {"Tinea corporis on the face": "unsupported_site", "A 40-year-old with tinea corporis": "forbidden_age", "Tinea corporis, treated with therapy": "forbidden_treatment", "Tinea with a scaly plaque": "unsupported_descriptor", "Psoriasis": "diagnosis_not", "tinea on pale skin": "unsupported_skin_tone"}.items():
-        assert any(v.startswith(kind) for v in captions.violations(said, values)), said
-    assert captions.violations("Tinea corporis on the forearm without a plaque", values) == []
+    said = {
+        "Tinea corporis on the face": "unsupported_site: 'face'", "A 40-year-old with tinea corporis": "forbidden_age: '40-year-old'", "Tinea corporis, treated with therapy": "forbidden_treatment: 'therapy'",
+        "Tinea with a scaly plaque": "unsupported_descriptor: 'scaly'", "Psoriasis": "diagnosis_not_stated_or_changed", "tinea on pale skin": "unsupported_skin_tone: 'pale'",
+        "Tinea. Caucasian patient": "forbidden_ethnicity: 'caucasian patient'", "Tinea, biopsy confirmed": "forbidden_unsupported_certainty: 'biopsy confirmed'",
+    }
+    fine = ["Tinea corporis on the forearm without a plaque", "tinea, no sign of therapy", "tinea of the FOREARM", "corporis: not a man"]
+    rows = df.crossJoin(spark.createDataFrame([(t,) for t in [*said, *fine]] + [(None,)], "caption string"))
+    got = {r["caption"]: r["violations"] for r in captions.check_captions(rows).collect()}
+    assert all(v in got[t] for t, v in said.items()) and all(got[t] == [] for t in fine), got
+    assert got[None] == ["diagnosis_not_stated_or_changed"]
+    assert got["A 40-year-old with tinea corporis"] == ["forbidden_age: '40-year-old'"]
+    crohn = reports.build_report(spark.range(1), {"disease_label": F.lit("Crohn's"), "anatomical_site": F.lit("leg/foot")}).withColumn("caption", F.lit("crohn on the foot, not of the face but the arm"))
+    # The apostrophe does not cut a word; "face" is two words after "not", "arm" is five after it.
+    assert captions.check_captions(crohn).first()["violations"] == ["diagnosis_not_stated_or_changed", "unsupported_site: 'arm'"]
+    assert captions.check_captions(crohn, synonyms={"crohn's": ["crohn"]}).first()["violations"] == ["unsupported_site: 'arm'"]
+    assert captions.generate_captions(df, lambda ask: "  tinea corporis\n", key="id").first()["caption"] == "tinea corporis"
     bad = captions.generate_captions(df, lambda ask: "psoriasis on the face", key="id").first()
+    assert [len(a["violations"]) for a in json.loads(bad["attempts"])] == [2, 2]
     again = captions.generate_captions(df, lambda ask: "tinea corporis" if "broke these rules" in ask else "psoriasis", key="id").first()
 
     def failing(ask):
