@@ -8,11 +8,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.portable import uniform_int
-from tessera.operators.metrics import macro_auroc
+from tessera.operators.metrics import macro_auroc, scores
 
 
 def group_weights(df: DataFrame, n_boot: int, seed: int = 2026, *, band: str = "band", group: str = "group") -> DataFrame:
@@ -27,14 +28,58 @@ def group_weights(df: DataFrame, n_boot: int, seed: int = 2026, *, band: str = "
     return counted.join(groups.select("band", "slot", "group"), ["band", "slot"]).select("rep", "band", "group", "w")
 
 
-def delta_replicates(df: DataFrame, weights: DataFrame, *, by: list[str], classes: DataFrame) -> DataFrame:
-    """(by, rep, delta): weighted macro-AUROC gap of each replicate, in SQL."""
-    rows = df.filter(F.col("band").isin("lighter", "darker")).join(weights, ["band", "group"])
-    per = macro_auroc(rows.withColumn("w", F.col("w").cast("double")), by=[*by, "rep", "band"], classes=classes, weight="w")
+#: Weights (groups x replicates) that are broadcast, and rows of one run that a task may hold, at most.
+MOST_WEIGHTS, MOST_ROWS = 100_000_000, 5_000_000
+
+
+def delta_replicates(df: DataFrame, weights: DataFrame, *, by: list[str], classes: DataFrame, most_weights: int = MOST_WEIGHTS, most_rows: int = MOST_ROWS) -> DataFrame:
+    """(by, rep, delta): weighted macro-AUROC gap of each replicate.
+
+    Test sets are small beside their replicates. While the counted weights and the largest run are within ``most_weights``
+    and ``most_rows``, rows are dealt out by (run, band, class), sorted by score once, and all replicates are weighed as vectors;
+    no row is copied for a replicate. Larger sets take the same sums in SQL, a row a replicate.
+    """
+    rows = df.filter(F.col("band").isin("lighter", "darker"))
+    size = weights.agg(F.count_distinct("band", "group").alias("g"), F.count_distinct("rep").alias("r")).first()
+    largest = rows.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if size["g"] * size["r"] <= most_weights and largest <= most_rows:
+        per = _weighed(rows, weights, by, classes)
+    else:
+        rows = rows.join(weights, ["band", "group"])
+        per = macro_auroc(rows.withColumn("w", F.col("w").cast("double")), by=[*by, "rep", "band"], classes=classes, weight="w")
     at = lambda b: F.max(F.when(F.col("band") == b, F.col("auroc")))
     return per.groupBy(*by, "rep").agg((at("lighter") - at("darker")).alias("delta"))
 
 
+def _weighed(rows: DataFrame, weights: DataFrame, by: list[str], classes: DataFrame, block: int = 64) -> DataFrame:
+    """(by, band, rep, auroc), the mean over classes; weights are broadcast as a matrix of small numbers."""
+    spark = rows.sparkSession
+    drawn = weights.filter(F.col("band").isin("lighter", "darker")).groupBy("band", "group").agg(F.collect_list(F.struct("rep", "w")).alias("draws")).toPandas()  # within most_weights
+    reps = np.array(sorted({r for x in drawn["draws"] for r, _ in x}), np.int64)
+    matrix = np.zeros((len(drawn), len(reps)), np.uint16)
+    for i, draws in enumerate(drawn["draws"]):
+        r, w = np.array(draws, np.int64).reshape(-1, 2).T
+        matrix[i, np.searchsorted(reps, r)] = w
+    shared = spark.sparkContext.broadcast((dict(zip(zip(drawn["band"], drawn["group"], strict=True), range(len(drawn)), strict=True)), reps, matrix))
+    long = scores(rows, [*by, "band", "group"]).join(classes.withColumnRenamed("y_true", "class"), "class", "left_semi").filter(F.col("score").isNotNull())
+    keys = [*by, "band", "class"]
+    kinds = dict(long.dtypes)
+
+    def weigh(key: tuple, table: pa.Table) -> pa.Table:
+        places, reps, matrix = shared.value
+        band = key[len(by)].as_py()
+        group, score, positive = table["group"].to_pylist(), table["score"].to_numpy(), table["positive"].to_numpy()
+        at = np.array([places.get((band, g), -1) for g in group])
+        known = at >= 0
+        at, score, positive = at[known], score[known], positive[known]
+        value = np.concatenate([weighted_auroc(positive, score, matrix[at, low : low + block].T.astype(float)) for low in range(0, len(reps), block)]) if len(at) else np.full(len(reps), np.nan)
+        out = {k: pa.array([v.as_py()] * len(reps), v.type) for k, v in zip(keys, key, strict=True)}
+        return pa.table(out | {"rep": pa.array(reps, pa.int32()), "auroc": pa.array(value, pa.float64(), from_pandas=True)})
+
+    found = long.groupBy(*keys).applyInArrow(weigh, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", rep int, auroc double")
+    return found.groupBy(*by, "band", "rep").agg(F.avg("auroc").alias("auroc"))
+
+
 def mean_over_seeds(reps: DataFrame, *, drop_missing: bool) -> DataFrame:
     """(setting, rep, delta). A missing seed is dropped, or (paired tests) makes the replicate missing."""
     out = reps.groupBy("setting", "rep").agg(F.avg("delta").alias("delta"), F.count_if(F.col("delta").isNull()).alias("_missing"))
@@ -75,23 +120,24 @@ def weighted_auroc(positive: np.ndarray, scores: np.ndarray, weights: np.ndarray
         return (p * (below + n / 2)).sum(axis=1) / (p.sum(axis=1) * n.sum(axis=1))
 
 
-#: Rows of a test set that may be collected and broadcast: some hundred MB.
-MOST_ROWS = 5_000_000
-
-
 def collected(rows: DataFrame, most: int = MOST_ROWS) -> pd.DataFrame:
-    """A test set for :func:`bootstrap_metric`, counted first; a larger one is an error, never cut. It belongs to :func:`delta_replicates`."""
+    """A test set for :func:`bootstrap_metric` (some hundred MB at most), counted first; a larger one is an error, never cut. It belongs to :func:`delta_replicates`."""
     if (n := rows.count()) > most:
         raise ValueError(f"{n} rows are more than the {most} that are broadcast; use delta_replicates")
     return rows.toPandas()
 
 
-def bootstrap_metric(spark: SparkSession, rows: pd.DataFrame, metric, n_boot: int = 2000, seed: int = 2026, block: int = 50) -> DataFrame:
+#: Cells (replicates x rows) of one block of weights.
+_CELLS = 20_000_000
+
+
+def bootstrap_metric(spark: SparkSession, rows: pd.DataFrame, metric, n_boot: int = 2000, seed: int = 2026) -> DataFrame:
     """(rep, value) of any metric of one test set (which fits a worker): blocks of replicates are dealt out over the cluster.
 
     ``metric(rows, weights)`` gets the rows and a (replicates x rows) matrix of multiplicities and returns a value a replicate.
     """
     shared = spark.sparkContext.broadcast(rows)
+    block = max(1, min(50, _CELLS // max(1, len(rows))))  # a task holds a bounded matrix of weights
 
     def run(batches):
         table = shared.value

@@ -5,22 +5,34 @@ Prediction rows: (run columns ..., row_id, y_true INT, band, group, probs ARRAY<
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _bucket(x: Column, parts: int = 256) -> Column:
+    """A whole number that never falls as ``x`` grows: ``parts`` steps between each two powers of two, by size and sign."""
+    size = F.abs(x)
+    power = F.floor(F.log2(size))
+    step = F.floor((power + 1100 + size / F.pow(F.lit(2.0), power) - 1) * parts) + 1
+    step = F.when(size == 0, 0).when(size == float("inf"), 2100 * parts).otherwise(step)
+    return F.when(F.isnan(x), 2101 * parts).when(x < 0, -step).otherwise(step).cast("long")
+
+
 def binary_auroc(df: DataFrame, *, by: list[str], score: str, positive: str, weight: str | None = None) -> DataFrame:
     """(by, auroc): Mann-Whitney with half credit for ties; null if a class is missing.
 
-    Rows are first combined per distinct score, so a window runs over distinct scores and not over rows.
+    Rows are first combined per distinct score. Distinct scores are dealt to buckets that follow their order: what lies below
+    a score is what its bucket has below it and what lower buckets hold. So one run's scores are spread over the cluster,
+    and the last window sees a row a bucket.
     """
     w = F.col(weight) if weight else F.lit(1.0)
     pos = F.col(positive).cast("boolean")
-    per = df.filter(F.col(score).isNotNull() & pos.isNotNull()).groupBy(*by, score).agg(F.sum(F.when(pos, w).otherwise(0.0)).alias("_p"), F.sum(F.when(pos, 0.0).otherwise(w)).alias("_n"))
-    below = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    per = per.withColumn("_u", F.col("_p") * (below + F.col("_n") / 2))
+    rows = df.filter(F.col(score).isNotNull() & pos.isNotNull()).withColumn("_b", _bucket(F.col(score).cast("double")))
+    per = rows.groupBy(*by, "_b", score).agg(F.sum(F.when(pos, w).otherwise(0.0)).alias("_p"), F.sum(F.when(pos, 0.0).otherwise(w)).alias("_n"))
+    before = lambda n, keys, order: F.coalesce(F.sum(n).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    per = per.withColumn("_u", F.col("_p") * (before("_n", [*by, "_b"], score) + F.col("_n") / 2))
+    per = per.groupBy(*by, "_b").agg(*[F.sum(c).alias(c) for c in ("_u", "_p", "_n")])
+    per = per.withColumn("_u", F.col("_u") + F.col("_p") * before("_n", by, "_b"))
     return per.groupBy(*by).agg(F.try_divide(F.sum("_u"), F.sum("_p") * F.sum("_n")).alias("auroc"))
 
 
@@ -141,12 +153,13 @@ def logsumexp(x: Column) -> Column:
     return top + F.ln(F.aggregate(F.transform(x, lambda v: F.exp(v - top)), F.lit(0.0), lambda s, v: s + v))
 
 
-def contrastive_loss(pairs: DataFrame, *, key: str = "id", image: str = "image", text: str = "text", temperature: float = 0.07) -> DataFrame:
-    """One row: symmetric InfoNCE loss of one batch of (image, text) vector pairs (a batch is small by definition)."""
+def contrastive_loss(pairs: DataFrame, *, key: str = "id", image: str = "image", text: str = "text", batch: str = "batch", temperature: float = 0.07) -> DataFrame:
+    """(batch, n, loss): symmetric InfoNCE loss of each batch of (image, text) vector pairs; pairs meet within their batch alone."""
     from tessera.operators.dedup import cosine
 
-    left, right = pairs.select(F.col(key).alias("i"), F.col(image).alias("vi")), pairs.select(F.col(key).alias("j"), F.col(text).alias("vj"))
-    sims = left.join(right, F.lit(True)).select("i", "j", (cosine(F.col("vi"), F.col("vj")) / temperature).alias("s"))
-    side = lambda k, o: sims.groupBy(k).agg((logsumexp(F.collect_list("s")) - F.max(F.when(F.col(k) == F.col(o), F.col("s")))).alias("l")).agg(F.avg("l").alias("l"))
-    both = reduce(DataFrame.unionByName, [side("i", "j"), side("j", "i")])
-    return both.agg(F.avg("l").alias("loss"))
+    left, right = pairs.select(batch, F.col(key).alias("i"), F.col(image).alias("vi")), pairs.select(batch, F.col(key).alias("j"), F.col(text).alias("vj"))
+    sims = left.join(right, batch).select(batch, "i", "j", (cosine(F.col("vi"), F.col("vj")) / temperature).alias("s"))
+    own = F.max(F.when(F.col("i") == F.col("j"), F.col("s")))
+    side = lambda k: sims.groupBy(batch, k).agg((logsumexp(F.collect_list("s")) - own).alias("l")).select(batch, "l")
+    both = side("i").unionByName(side("j"))  # as many rows of each side
+    return both.groupBy(batch).agg((F.count("*") / 2).cast("long").alias("n"), F.avg("l").alias("loss"))

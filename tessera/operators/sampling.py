@@ -2,39 +2,25 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.portable import uniform_key
 
 
-@dataclass(frozen=True)
-class Setting:
-    name: str
-    title: str
-    harmonised: bool
-    colour_constancy: bool
-    sampling: str
-    tone_weighted_loss: bool
-    matched_size: bool
-    question: str
-
-
 # The settings of the ladder and the comparisons (treatment, comparator, question).
-LADDER = {
-    s.name: s
-    for s in (
-        Setting("A0", "Original baseline", False, False, "natural", False, False, "Reference from the first submission"),
-        Setting("A1", "Controlled baseline", True, False, "natural", False, True, "Effect of harmonisation and clean splits"),
-        Setting("A2", "+ Colour constancy", True, True, "natural", False, True, "Effect of colour constancy alone"),
-        Setting("A3", "+ Balancing", True, False, "balanced", False, True, "Effect of skin-tone balancing alone"),
-        Setting("A4", "Full pipeline, matched size", True, True, "balanced", False, True, "Combined effect at fixed size"),
-        Setting("A5", "Full corpus", True, True, "as_released", False, False, "Effect of additional data"),
-        Setting("A6", "Loss re-weighting", True, True, "natural", True, True, "Data-level against loss-level correction"),
-    )
-}
+LADDER_SCHEMA = "name string, title string, harmonised boolean, colour_constancy boolean, sampling string, tone_weighted_loss boolean, matched_size boolean, question string"
+LADDER_ROWS = (
+    ("A0", "Original baseline", False, False, "natural", False, False, "Reference from the first submission"),
+    ("A1", "Controlled baseline", True, False, "natural", False, True, "Effect of harmonisation and clean splits"),
+    ("A2", "+ Colour constancy", True, True, "natural", False, True, "Effect of colour constancy alone"),
+    ("A3", "+ Balancing", True, False, "balanced", False, True, "Effect of skin-tone balancing alone"),
+    ("A4", "Full pipeline, matched size", True, True, "balanced", False, True, "Combined effect at fixed size"),
+    ("A5", "Full corpus", True, True, "as_released", False, False, "Effect of additional data"),
+    ("A6", "Loss re-weighting", True, True, "natural", True, True, "Data-level against loss-level correction"),
+)
+#: Setting -> its sampling rule.
+LADDER = {row[0]: row[4] for row in LADDER_ROWS}
 COMPARISONS = (
     ("A1", "A0", "harmonisation and clean splitting"),
     ("A2", "A1", "colour constancy alone"),
@@ -47,7 +33,7 @@ SEEDS = (2026, 2027, 2028, 2029, 2030)
 
 
 def ladder(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([tuple(vars(s).values()) for s in LADDER.values()], "name string, title string, harmonised boolean, colour_constancy boolean, sampling string, tone_weighted_loss boolean, matched_size boolean, question string")
+    return spark.createDataFrame(list(LADDER_ROWS), LADDER_SCHEMA)
 
 
 def available_comparisons(spark: SparkSession, settings: DataFrame, column: str = "setting") -> DataFrame:
@@ -73,7 +59,8 @@ def max_feasible_n(pool: DataFrame, *, label: str = "disease_label", band: str =
 def sample_training_set(pool: DataFrame, n_per_class: int | None, sampling: str, *, row_id: str, label: str = "disease_label", band: str = "band", darker_share: float = 0.5, seed: int = 2026) -> DataFrame:
     """Draw without replacement: ``natural`` n of each class, ``balanced`` the darker share of n and the rest lighter, ``as_released`` all.
 
-    A draw depends on (seed, row id) alone. If any class is short, nothing is drawn and the shortfalls are listed.
+    A draw depends on (seed, row id) alone, and so does the order of the drawn rows, which mixes the classes. If any class is
+    short, nothing is drawn and the shortfalls are listed.
     """
     if sampling == "as_released":
         return pool
@@ -95,7 +82,7 @@ def sample_training_set(pool: DataFrame, n_per_class: int | None, sampling: str,
     if found := [r[0] for r in short.orderBy(label).limit(5).select(said).collect()]:
         raise ValueError(f"too few rows: {'; '.join(found)}")
     order = Window.partitionBy(*keys).orderBy(uniform_key(seed, F.col(row_id)), row_id)
-    return rows.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= want).drop("_place")
+    return rows.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= want).drop("_place").orderBy(uniform_key(seed, "order", F.col(row_id)), row_id)
 
 
 def composition(rows: DataFrame, band: str = "band") -> DataFrame:
@@ -105,8 +92,7 @@ def composition(rows: DataFrame, band: str = "band") -> DataFrame:
 
 def build_ablation(name: str, pool: DataFrame, n_per_class: int | None = None, seed: int = 2026, **columns) -> DataFrame:
     """One rung's rows with its name. Rungs other than ``as_released`` need a size; that A0 would draw nothing without one is an error here."""
-    setting = LADDER[name]
-    return sample_training_set(pool, n_per_class, setting.sampling, seed=seed, **columns).withColumn("setting", F.lit(name))
+    return sample_training_set(pool, n_per_class, LADDER[name], seed=seed, **columns).withColumn("setting", F.lit(name))
 
 
 def class_weights(df: DataFrame, n_classes: int, label: str = "label") -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,34 +34,52 @@ def _first_fold(counts: np.ndarray, folds: int) -> np.ndarray:
     return mine
 
 
-def stratified_group_split(df: DataFrame, *, label: str = "target_class", band: str = "band", group: str = "group_key", fractions=(0.7, 0.1, 0.2), seed: int = 2026) -> DataFrame:
-    """``df`` with a ``split`` column; every group lies in one split.
+#: Shards that groups are dealt to, and groups that one shard may have.
+SHARDS, MOST_GROUPS = 16, 1_000_000
 
-    Groups are dealt out to shards by hash and each shard is split by itself (greedily, with its own strata), so the work
-    is spread over the cluster and no list of all groups comes to one place. A shard holds about 5,000 groups.
-    """
+
+def folds(fractions: tuple[float, float, float]) -> tuple[int, int]:
+    """(folds of which one is the test set, folds of the rest of which one is the validation set)."""
+    if len(fractions) != 3 or min(fractions) <= 0 or abs(sum(fractions) - 1) > 1e-9:
+        raise ValueError(f"three positive fractions that sum to 1 are needed, not {fractions}")
     train, validation, test = fractions
-    outer, inner = round(1 / test), round((train + validation) / validation)
-    strata = df.groupBy(group, label, band).agg(F.count("*").alias("n"))
-    n_groups = df.agg(F.approx_count_distinct(group)).first()[0]
-    shards = max(1, n_groups // 5000)
-    strata = strata.withColumn("_shard", F.pmod(F.xxhash64(group), F.lit(shards))).withColumn("_order", uniform_key(seed, F.col(group)))
-
-    def deal(pdf):
-        keys = [group, "_order"]
-        table = pdf.assign(stratum=pdf[label].astype(str) + "|" + pdf[band].astype(str)).pivot_table(index=keys, columns="stratum", values="n", aggfunc="sum", fill_value=0)
-        table = table.sort_index(level="_order")
-        counts = table.to_numpy(float)
-        out = np.full(len(table), "train", dtype=object)
+    found = round(1 / test), round((train + validation) / validation)
+    if min(found) < 2:
+        raise ValueError(f"fractions {fractions} leave fewer than two folds")
+    return found
+
+
+def stratified_group_split(df: DataFrame, *, label: str = "target_class", band: str = "band", group: str = "group_key", fractions=(0.7, 0.1, 0.2), seed: int = 2026, shards: int = SHARDS) -> DataFrame:
+    """``df`` with a ``split`` column; every group lies in one split and every row is kept.
+
+    Groups are dealt out to ``shards`` by hash and each shard is split by itself (greedily, with its own strata), so the
+    work is spread over the cluster. A task holds a count for each group and stratum of a shard: ``shards`` should grow with the
+    corpus, about one for 100,000 groups; a shard of more than ``MOST_GROUPS`` is an error. A row without a group is an
+    error; a null label or band is a stratum of its own.
+    """
+    outer, inner = folds(tuple(fractions))
+    if not df.filter(F.col(group).isNull()).isEmpty():
+        raise ValueError(f"rows without a {group}")
+    strata = df.groupBy(F.col(group).alias("group"), F.coalesce(F.col(label).cast("string"), F.lit("")).alias("label"), F.coalesce(F.col(band).cast("string"), F.lit("")).alias("band")).agg(F.count("*").alias("n"))
+    strata = strata.withColumn("shard", F.pmod(F.xxhash64("group"), F.lit(shards))).withColumn("order", uniform_key(seed, F.col("group")))
+    if (most := strata.groupBy("shard").agg(F.approx_count_distinct("group").alias("k")).agg(F.max("k")).first()[0] or 0) > MOST_GROUPS:
+        raise ValueError(f"a shard of about {most} groups; take more than {shards} shards")
+
+    def deal(table: pa.Table) -> pa.Table:
+        rows = table.sort_by([("order", "ascending")])
+        of = rows["order"].combine_chunks().dictionary_encode()
+        groups, first = np.unique(of.indices.to_numpy(), return_index=True)
+        kinds = pc.binary_join_element_wise(rows["label"], rows["band"], "\u0001").combine_chunks().dictionary_encode()
+        counts = np.zeros((len(groups), len(kinds.dictionary)))
+        np.add.at(counts, (of.indices.to_numpy(), kinds.indices.to_numpy()), rows["n"].to_numpy())
+        out = np.full(len(groups), "train", dtype=object)
         in_test = _first_fold(counts, outer)
         out[in_test] = "test"
         rest = np.flatnonzero(~in_test)
         out[rest[_first_fold(counts[rest][::-1], inner)[::-1]]] = "validation"
-        names = table.index.to_frame(index=False)
-        return names.assign(split=out)[[group, "split"]]
+        return pa.table({group: rows["group"].take(pa.array(first)), "split": pa.array(out, pa.string())})
 
-    kind = dict(df.dtypes)[group]
-    assigned = strata.groupBy("_shard").applyInPandas(deal, f"`{group}` {kind}, split string")
+    assigned = strata.groupBy("shard").applyInArrow(deal, f"`{group}` {dict(df.dtypes)[group]}, split string")
     return df.join(assigned, group)
 
 

@@ -156,12 +156,12 @@ def curve_aic(spark, d):
 
 @query()
 def curve_gap_bootstrap(spark, d):
-    return curve.project_gap(spark, curve.fit_curve(*zip(*curve.ANCHORS, strict=True)), 70, 47, n_boot=500)
+    return curve.project_gap(spark, curve.fit_curve(*zip(*curve.ANCHORS, strict=True)), 70, 47)
 
 
 @query()
 def curve_sensitivity(spark, d):
-    return curve.sensitivity(spark, curve.ANCHORS, [("adequate", "exponential", 70, 47), ("adequate", "power", 70, 47), ("all", "exponential", 69, 24)], n_boot=200)
+    return curve.sensitivity(spark, curve.ANCHORS, [("adequate", "exponential", 70, 47), ("adequate", "power", 70, 47), ("all", "exponential", 69, 24)])
 
 
 @query()
@@ -244,29 +244,55 @@ def _hashes(spark, d):
     return table(spark, d, "part").select("p_partkey", F.conv(F.substring(F.md5(F.col("p_name").cast("binary")), 1, 8), 16, 10).cast("long").bitwiseXOR(F.expr("shiftleft(1L, cast(p_partkey % 31 as int))")).alias("h"))
 
 
-HS = "h AS (SELECT p_partkey, xor(('0x' || substr(md5(p_name), 1, 8))::BIGINT, 1::BIGINT << CAST(p_partkey % 31 AS INT)) AS h FROM part WHERE p_partkey <= 2000)"
-PAIRS = "p AS (SELECT x.p_partkey AS a, y.p_partkey AS b, bit_count(xor(x.h, y.h))::INT AS distance FROM h x JOIN h y ON x.p_partkey < y.p_partkey AND bit_count(xor(x.h, y.h)) <= 2)"
+HS = "h AS (SELECT p_partkey, xor(('0x' || substr(md5(p_name), 1, 8))::BIGINT, 1::BIGINT << CAST(p_partkey % 31 AS INT)) AS h FROM part), v AS (SELECT h, min(p_partkey) AS rep, count(*) AS n FROM h GROUP BY h)"
+PAIRS = "p AS (SELECT least(x.rep, y.rep) AS a, greatest(x.rep, y.rep) AS b, bit_count(xor(x.h, y.h))::INT AS distance, CASE WHEN x.rep < y.rep THEN x.n ELSE y.n END AS n_a, CASE WHEN x.rep < y.rep THEN y.n ELSE x.n END AS n_b FROM v x JOIN v y ON x.h < y.h AND bit_count(xor(x.h, y.h)) <= 2)"
+WALK = "e AS (SELECT a, b FROM p UNION SELECT b, a FROM p), w AS (SELECT rep AS k, rep AS r FROM v UNION SELECT e.b, w.r FROM w JOIN e ON e.a = w.k), c AS (SELECT k AS rep, min(r) AS m FROM w GROUP BY k)"
 
 
-@query(f"WITH {HS}, {PAIRS} SELECT a, b, distance FROM p")
+def _hash_links(spark, d):
+    items = _hashes(spark, d)
+    return items, dedup.hamming_links(dedup.hash_classes(items, key="p_partkey", value="h"), most=2, bits=32)
+
+
+@query(f"WITH {HS}, {PAIRS} SELECT a, b, distance, n_a, n_b FROM p")
 def near_duplicate_pairs(spark, d):
-    return dedup.hamming_pairs(_hashes(spark, d), key="p_partkey", value="h", most=2, bits=32)
+    return _hash_links(spark, d)[1]
 
 
-@query(f"""WITH RECURSIVE {HS}, {PAIRS}, e AS (SELECT a, b FROM p UNION SELECT b, a FROM p), w AS (SELECT p_partkey AS k, p_partkey AS r FROM h UNION SELECT e.b, w.r FROM w JOIN e ON e.a = w.k) SELECT k AS p_partkey, min(r) AS cluster FROM w GROUP BY k""")
+@query(f"WITH {HS}, {PAIRS}, l AS (SELECT a AS rep, n_b AS m FROM p UNION ALL SELECT b, n_a FROM p), s AS (SELECT rep, sum(m) AS m FROM l GROUP BY rep) SELECT p_partkey, rep AS class, CAST(n - 1 + coalesce(m, 0) AS BIGINT) AS n_links FROM h JOIN v USING (h) LEFT JOIN s USING (rep)")
+def near_duplicate_counts(spark, d):
+    return dedup.hash_links(_hashes(spark, d), key="p_partkey", value="h", most=2, bits=32)
+
+
+@query(f"WITH RECURSIVE {HS}, {PAIRS}, {WALK} SELECT p_partkey, m AS cluster FROM h JOIN v USING (h) JOIN c USING (rep)")
 def duplicate_clusters(spark, d):
-    items = _hashes(spark, d)
-    return dedup.clusters(items, dedup.hamming_pairs(items, key="p_partkey", value="h", most=2, bits=32), "p_partkey")
+    items, links = _hash_links(spark, d)
+    return dedup.clusters(items, links, "p_partkey", value="h")
 
 
-@query(f"""WITH RECURSIVE {HS}, {PAIRS}, e AS (SELECT a, b FROM p UNION SELECT b, a FROM p), w AS (SELECT p_partkey AS k, p_partkey AS r FROM h UNION SELECT e.b, w.r FROM w JOIN e ON e.a = w.k), c AS (SELECT k, min(r) AS m FROM w GROUP BY k) SELECT k AS p_partkey, CAST(dense_rank() OVER (ORDER BY m) - 1 AS INT) AS label FROM c""")
+@query(f"WITH RECURSIVE {HS}, {PAIRS}, {WALK} SELECT p_partkey, CAST(dense_rank() OVER (ORDER BY m) - 1 AS INT) AS label FROM h JOIN v USING (h) JOIN c USING (rep)")
 def cluster_labels(spark, d):
     return dedup.dense_labels(duplicate_clusters(spark, d), "p_partkey")
 
 
-@query("SELECT x.vec_id AS a, y.vec_id AS b, round(list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]), 6) AS cosine FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id AND list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) >= 0.35 WHERE x.vec_id < 500 AND y.vec_id < 500")
+_SIGNS = " + ".join(f"(e[{i + 1}] > 0)::BIGINT * {1 << i}" for i in range(16))
+
+
+@query(f"""WITH r AS (SELECT vec_id, embedding::DOUBLE[] AS e, {_SIGNS.replace("e[", "embedding[")} AS h FROM embeddings), v AS (SELECT h, e, min(vec_id) AS class, count(*) AS n FROM r GROUP BY h, e),
+ p AS (SELECT x.class AS a, y.class AS b, x.n AS n_a, y.n AS n_b FROM v x JOIN v y ON x.class < y.class AND bit_count(xor(x.h, y.h)) <= 1 AND list_cosine_similarity(x.e, y.e) >= 0.35),
+ l AS (SELECT a AS class, n_b AS m FROM p UNION ALL SELECT b, n_a FROM p), s AS (SELECT class, sum(m) AS m FROM l GROUP BY class)
+ SELECT vec_id, class, CAST(n - 1 + coalesce(m, 0) AS BIGINT) AS n_links FROM r JOIN v USING (h, e) LEFT JOIN s USING (class)""")
+def hash_and_vector_links(spark, d):
+    """Hash of 16 signs, at most one of which may differ, and a cosine of 0.35 or more."""
+    rows = table(spark, d, "embeddings").withColumn("h", F.expr(" + ".join(f"CASE WHEN embedding[{i}] > 0 THEN {1 << i}L ELSE 0L END" for i in range(16))))
+    return dedup.hash_and_vector_links(rows, key="vec_id", value="h", vector="embedding", most=1, least=0.35, bits=16)
+
+
+@query("SELECT x.vec_id AS a, y.vec_id AS b, round(list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]), 6) AS cosine FROM embeddings x JOIN embeddings y ON x.vec_id % 100 = 0 AND x.vec_id <> y.vec_id AND list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) >= 0.35")
 def cosine_pairs(spark, d):
-    return rounded(dedup.cosine_pairs(table(spark, d, "embeddings"), key="vec_id", vector="embedding", least=0.35))
+    """A search: the vectors whose id is divisible by 100, against all."""
+    rows = table(spark, d, "embeddings")
+    return rounded(dedup.cosine_search(rows, rows.filter("vec_id % 100 = 0"), key="vec_id", vector="embedding", least=0.35))
 
 
 # ---- skin tone and colour
@@ -515,8 +541,10 @@ def seed_summary(spark, d):
 
 # ---- bootstrap
 
+REPS = 2000
+
 GW = f"""gs AS (SELECT *, row_number() OVER (PARTITION BY band ORDER BY grp) - 1 AS slot, count(*) OVER (PARTITION BY band) AS size FROM (SELECT DISTINCT band, grp FROM x)),
- dr AS (SELECT rep, band, {ri('size', '2026', 'rep', 'band', 'slot')} AS slot FROM gs, range(20) t(rep)), gw AS (SELECT dr.rep, dr.band, gs.grp, count(*) AS w FROM dr JOIN gs USING (band, slot) GROUP BY 1, 2, 3)"""
+ dr AS (SELECT rep, band, {ri('size', '2026', 'rep', 'band', 'slot')} AS slot FROM gs, range({REPS}) t(rep)), gw AS (SELECT dr.rep, dr.band, gs.grp, count(*) AS w FROM dr JOIN gs USING (band, slot) GROUP BY 1, 2, 3)"""
 DR = f"""wr AS (SELECT setting, seed, rep, band, c, score, sum(w) FILTER (WHERE y_true = c) AS p, sum(w) FILTER (WHERE y_true <> c) AS n FROM s JOIN gw USING (band, grp) WHERE band <> 'uncertain' AND c IN (SELECT y_true FROM cc) GROUP BY ALL),
  wb AS (SELECT *, coalesce(p, 0) * (coalesce(sum(coalesce(n, 0)) OVER (PARTITION BY setting, seed, rep, band, c ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + coalesce(n, 0) / 2.0::DOUBLE) AS u FROM wr),
  wa AS (SELECT setting, seed, rep, band, c, sum(u) / nullif(sum(p) * sum(n), 0) AS a FROM wb GROUP BY ALL), wd AS (SELECT setting, seed, rep, max(a) FILTER (WHERE band = 'lighter') - max(a) FILTER (WHERE band = 'darker') AS delta FROM (SELECT setting, seed, rep, band, avg(a) AS a FROM wa GROUP BY ALL) GROUP BY ALL),
@@ -525,12 +553,12 @@ DR = f"""wr AS (SELECT setting, seed, rep, band, c, score, sum(w) FILTER (WHERE
 
 @query(f"WITH {pred_sql()}, {GW} SELECT CAST(rep AS INT) AS rep, band, grp AS \"group\", w FROM gw")
 def group_bootstrap_weights(spark, d):
-    return bootstrap.group_weights(predictions(spark, d), 20)
+    return bootstrap.group_weights(predictions(spark, d), REPS)
 
 
 def _replicates(spark, d, settings, drop_missing):
     p = predictions(spark, d, 1, settings)
-    raw = bootstrap.delta_replicates(p, bootstrap.group_weights(p, 20), by=["setting", "seed"], classes=metrics.common_classes(p))
+    raw = bootstrap.delta_replicates(p, bootstrap.group_weights(p, REPS), by=["setting", "seed"], classes=metrics.common_classes(p))
     return bootstrap.mean_over_seeds(raw, drop_missing=drop_missing)
 
 
@@ -548,7 +576,7 @@ def paired_bootstrap(spark, d):
 @query()
 def bootstrap_blocks(spark, d):
     rows = bootstrap.collected(predictions(spark, d).select("y_true", "band", "group", F.get("probs", F.lit(0)).alias("score")).orderBy("group", "score"))
-    return bootstrap.bootstrap_metric(spark, rows, lambda t, w: bootstrap.weighted_auroc((t["y_true"] == 0).to_numpy(), t["score"].to_numpy(), w), n_boot=40)
+    return bootstrap.bootstrap_metric(spark, rows, lambda t, w: bootstrap.weighted_auroc((t["y_true"] == 0).to_numpy(), t["score"].to_numpy(), w))
 
 
 @query("WITH p(ordinal, p) AS (VALUES (1, 0.006::DOUBLE), (2, 0.271), (3, 0.284), (4, 0.003), (5, 0.028), (6, NULL)), s AS (SELECT *, (count(*) OVER () - row_number() OVER (ORDER BY p NULLS LAST, ordinal) + 1) * p AS a FROM p) SELECT ordinal, p, round(least(1.0, max(a) OVER (ORDER BY p NULLS LAST, ordinal ROWS UNBOUNDED PRECEDING)), 6) AS p_holm FROM s")
@@ -629,8 +657,9 @@ def linear_probe(spark, d):
     return out.select("vec_id", "label", metrics.predicted(F.col("probs")).alias("predicted"))
 
 
-@query("WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS a, embedding[2:64]::DOUBLE[] || [0.5::DOUBLE] AS b FROM embeddings WHERE vec_id < 32), s AS (SELECT x.vec_id AS i, y.vec_id AS j, list_cosine_similarity(x.a, y.b) / 0.07 AS s FROM e x, e y), l AS (SELECT avg(l) AS l FROM (SELECT ln(sum(exp(s))) - max(s) FILTER (WHERE i = j) AS l FROM s GROUP BY i) UNION ALL SELECT avg(l) FROM (SELECT ln(sum(exp(s))) - max(s) FILTER (WHERE i = j) AS l FROM s GROUP BY j)) SELECT round(avg(l), 6) AS loss FROM l")
+@query("WITH e AS (SELECT vec_id, vec_id // 32 AS batch, embedding::DOUBLE[] AS a, embedding[2:64]::DOUBLE[] || [0.5::DOUBLE] AS b FROM embeddings), s AS (SELECT batch, x.vec_id AS i, y.vec_id AS j, list_cosine_similarity(x.a, y.b) / 0.07 AS s FROM e x JOIN e y USING (batch)), l AS (SELECT batch, ln(sum(exp(s))) - max(s) FILTER (WHERE i = j) AS l FROM s GROUP BY batch, i UNION ALL SELECT batch, ln(sum(exp(s))) - max(s) FILTER (WHERE i = j) FROM s GROUP BY batch, j) SELECT CAST(batch AS BIGINT) AS batch, CAST(count(*) / 2 AS BIGINT) AS n, round(avg(l), 6) AS loss FROM l GROUP BY batch")
 def contrastive_loss(spark, d):
-    e = table(spark, d, "embeddings").filter("vec_id < 32").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("image"))
+    """All embeddings, in batches of 32 ids."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.expr("vec_id div 32").alias("batch"), F.col("embedding").cast("array<double>").alias("image"))
     e = e.withColumn("text", F.concat(F.slice("image", 2, 63), F.array(F.lit(0.5))))
     return rounded(metrics.contrastive_loss(e))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,6 +48,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession, rows: int):
+    """Within it, plans that are run send at most ``rows`` rows to a Python worker at once, which bounds the memory of long texts."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a folder of the shared file system that nothing reads any more."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -107,9 +107,34 @@ def test_group_keys_and_clusters(spark):
     got = [tuple(r) for r in dedup.group_keys(df).select("group_key", "group_key_provenance").collect()]
     assert got == [("pad_ufes_20::patient::PAT_1", "patient"), ("fitzpatrick17k::cluster::9", "cluster"), ("x::cluster::3", "cluster"), ("x::cluster::4", "cluster")]
     hashes = spark.createDataFrame([(0, 0b0000), (1, 0b0001), (2, 0xFFFF), (3, -1), (4, -2)], "id int, h long")
-    pairs = dedup.hamming_pairs(hashes, key="id", value="h", most=1)
-    assert sorted((r["a"], r["b"]) for r in pairs.collect()) == [(0, 1), (3, 4)]
-    assert {r["id"]: r["cluster"] for r in dedup.clusters(hashes, pairs, "id").collect()} == {0: 0, 1: 0, 2: 2, 3: 3, 4: 3}
+    links = dedup.hamming_links(dedup.hash_classes(hashes, key="id", value="h"), most=1)
+    assert sorted((r["a"], r["b"]) for r in links.collect()) == [(0, 1), (3, 4)]
+    assert {r["id"]: r["cluster"] for r in dedup.clusters(hashes, links, "id", value="h").collect()} == {0: 0, 1: 0, 2: 2, 3: 3, 4: 3}
+    assert {r["id"]: r["cluster"] for r in dedup.clusters(hashes, links, "id").collect()} == {0: 0, 1: 0, 2: 2, 3: 3, 4: 3}
+
+
+def test_hash_links_count_all_pairs_through_classes(spark):
+    rng = np.random.default_rng(5)
+    base = [int(x) for x in rng.integers(0, 1 << 62, 12)]
+    h = {i: base[i % 12] ^ (1 << int(rng.integers(0, 64)) if i % 3 else 0) ^ (1 << int(rng.integers(0, 64)) if i % 5 == 0 else 0) for i in range(200)}
+    h = {i: v - (1 << 64) if v >= 1 << 63 else v for i, v in h.items()}
+    v = {i: [float(x) for x in rng.integers(-2, 3, 3)] for i in h}
+    df = spark.createDataFrame([(i, h[i], v[i]) for i in h] + [(500, None, None)], "id int, h long, v array<double>")
+    near = lambda a, b: ((h[a] ^ h[b]) & ((1 << 64) - 1)).bit_count() <= 2
+    got = {r["id"]: (r["class"], r["n_links"]) for r in dedup.hash_links(df, key="id", value="h", most=2).collect()}
+    assert got == {i: (min(j for j in h if h[j] == h[i]), sum(near(i, j) for j in h if j != i)) for i in h}
+
+    def cosine(x, y):
+        n = math.sqrt(sum(a * a for a in x) * sum(b * b for b in y))
+        return sum(a * b for a, b in zip(x, y, strict=True)) / n if n else 0.0
+
+    alike = lambda a, b: (h[a] == h[b] and v[a] == v[b]) or (near(a, b) and cosine(v[a], v[b]) >= 0.79)
+    got = {r["id"]: (r["class"], r["n_links"]) for r in dedup.hash_and_vector_links(df, key="id", value="h", vector="v", most=2, least=0.79).collect()}
+    assert got == {i: (min(j for j in h if h[j] == h[i] and v[j] == v[i]), sum(alike(i, j) for j in h if j != i)) for i in h}
+    for block in (2, 4096):
+        found = dedup.cosine_search(df, df.filter("id % 40 = 0 OR id = 500"), key="id", vector="v", least=0.79, block=block).collect()
+        assert {(r["a"], r["b"]) for r in found} == {(a, b) for a in h if a % 40 == 0 for b in h if a != b and cosine(v[a], v[b]) >= 0.79}
+    assert dedup.cosine_search(df, df.limit(0), key="id", vector="v", least=0.8).count() == 0
 
 
 def test_components_of_a_chain_and_a_star(spark):
@@ -149,6 +174,69 @@ def test_evaluation_and_bootstrap(spark):
     assert external.count() == 2
 
 
+def test_auroc_of_any_scores(spark):
+    rng = np.random.default_rng(3)
+    score = np.concatenate([rng.normal(size=150), rng.normal(size=50) * 1e-9, rng.integers(-3, 3, 60), [0.0, -0.0, np.inf, -np.inf, 1e300, -1e300, 0.5, 0.5]])
+    score = np.round(score, 2) * np.where(rng.random(len(score)) < 0.5, 1, 1.0)
+    pos = rng.random(len(score)) < 0.4
+    weight = rng.integers(0, 4, len(score)).astype(float)
+    df = spark.createDataFrame([(None if i % 2 else 1, bool(p), float(s), float(w)) for i, (p, s, w) in enumerate(zip(pos, score, weight, strict=True))], "run int, pos boolean, s double, w double")
+
+    def brute(some, w):
+        pairs = [(w[i] * w[j], (score[i] > score[j]) + 0.5 * (score[i] == score[j])) for i in some if pos[i] for j in some if not pos[j]]
+        return sum(a * b for a, b in pairs) / sum(a for a, _ in pairs)
+
+    every = range(len(score))
+    ones = np.ones(len(score))
+    assert metrics.binary_auroc(df, by=[], score="s", positive="pos").first()["auroc"] == pytest.approx(brute(every, ones))
+    assert metrics.binary_auroc(df, by=[], score="s", positive="pos", weight="w").first()["auroc"] == pytest.approx(brute(every, weight))
+    got = {r["run"]: r["auroc"] for r in metrics.binary_auroc(df, by=["run"], score="s", positive="pos").collect()}
+    assert got == {None: pytest.approx(brute(every[1::2], ones)), 1: pytest.approx(brute(every[::2], ones))}
+    plan = metrics.binary_auroc(df, by=["run"], score="s", positive="pos")._jdf.queryExecution().toString()
+    assert "SinglePartition" not in plan
+
+
+def test_both_ways_of_replicates_agree(spark):
+    df = predictions.synthetic(spark, n=300, n_classes=4, n_groups=60, settings=("A1", "A2"), seeds=(1,)).cache()
+    weights, by, classes = bootstrap.group_weights(df, 70), ["setting", "seed"], metrics.common_classes(df)
+    one, other = ({(r["setting"], r["rep"]): r["delta"] for r in bootstrap.delta_replicates(df, weights, by=by, classes=classes, most_rows=most).collect()} for most in (10**6, 10))
+    assert len(one) == 140 and one.keys() == other.keys() and all(one[k] == pytest.approx(other[k], abs=1e-9) for k in one)
+
+
+def test_contrastive_loss_by_batches(spark):
+    rng = np.random.default_rng(2)
+    x, y = rng.normal(size=(2, 10, 4))
+    df = spark.createDataFrame([(i, i // 6, x[i].tolist(), y[i].tolist()) for i in range(10)], "id int, batch int, image array<double>, text array<double>")
+    got = {r["batch"]: (r["n"], r["loss"]) for r in metrics.contrastive_loss(df).collect()}
+    for batch, some in ((0, slice(0, 6)), (1, slice(6, 10))):
+        a, b = (m[some] / np.linalg.norm(m[some], axis=1, keepdims=True) for m in (x, y))
+        s = a @ b.T / 0.07
+        want = np.mean([np.mean(np.log(np.exp(s).sum(axis=k)) - np.diag(s)) for k in (0, 1)])
+        assert got[batch] == (len(a), pytest.approx(want))
+
+
+def test_split_keeps_rows_and_refuses_bad_input(spark):
+    rows = [(i, None if i % 7 == 0 else "a", None if i % 5 == 0 else "lighter", f"g{i % 90}") for i in range(900)]
+    df = spark.createDataFrame(rows, "id int, label string, band string, group_key string")
+    for shards in (1, 16):
+        out = splits.stratified_group_split(df, label="label", shards=shards)
+        assert out.count() == 900 and splits.leaking_groups(out).count() == 0 and {r[0] for r in out.select("split").distinct().collect()} == set(splits.SPLITS)
+    with pytest.raises(ValueError, match="without a group_key"):
+        splits.stratified_group_split(df.withColumn("group_key", F.when(F.col("id") > 3, F.col("group_key"))), label="label")
+    for fractions in ((0.7, 0.1, 0.1), (0.7, 0.3, 0.0), (0.1, 0.1, 0.8), (0.5, 0.5)):
+        with pytest.raises(ValueError):
+            splits.folds(fractions)
+    assert splits.folds((0.7, 0.1, 0.2)) == (5, 8)
+
+
+def test_drawn_rows_come_in_an_order_of_their_own(spark):
+    pool = spark.createDataFrame([(i, i % 2, "lighter") for i in range(200)], "id int, disease_label int, band string")
+    drawn = [tuple(r) for r in sampling.sample_training_set(pool, 50, "natural", row_id="id").select("id", "disease_label").collect()]
+    assert drawn == [tuple(r) for r in sampling.sample_training_set(pool.repartition(3), 50, "natural", row_id="id").select("id", "disease_label").collect()]
+    classes = [c for _, c in drawn]
+    assert 20 < sum(a != b for a, b in zip(classes, classes[1:], strict=False)) and [i for i, _ in drawn] != sorted(i for i, _ in drawn)
+
+
 def test_archives(spark, tmp_path):
     np.savez(tmp_path / "A1_seed7.npz", probs=np.full((3, 2), 0.5, np.float32), y_true=np.array([0, 1, 0]), band=np.array(["lighter", "darker", "darker"]), group=np.array([1, 2, 3]))
     (tmp_path / "other.npz").write_bytes(b"no")
