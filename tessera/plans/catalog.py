@@ -634,15 +634,41 @@ def field_coverage(spark, d):
     return reports.coverage(reported(spark, d))
 
 
-@query()
+def _listed(words) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+def _named(kind: str, word: str) -> str:
+    return f"'{kind}: ' || chr(39) || {word} || chr(39)"
+
+
+_NEG = "len(list_filter(list_slice(string_split_regex(trim({}), '\\s+'), -" + str(captions.NEGATION_WINDOW) + ", -1), lambda q: list_contains(" + _listed(captions.NEGATION_CUES) + ", trim(q, '.,;:')))) > 0"
+_FORMS = "CASE WHEN {0} IS NULL THEN [] ELSE [{0}] || list_filter(string_split_regex({0}, '[\\s/,-]+'), lambda q: len(q) > 3) END"
+_KINDS = "CASE " + " ".join(f"WHEN regexp_matches(m, '{p}') THEN {_named('forbidden_' + k, 'm')}" for k, p in captions.FORBIDDEN.items()) + " END"
+_UNION = "|".join(f"(?:{p})".replace("(", "(?:").replace("(?:?:", "(?:") for p in captions.FORBIDDEN.values())
+_BEFORE = _NEG.format("left(t, position(w IN t) - 1)")
+CHECK = f"""c0 AS (SELECT p_partkey, lower({_CAP} || CASE WHEN p_partkey % 2 = 0 THEN ' Treatment: apply 5 mg on the face.' ELSE '' END) AS t,
+  {_FORMS.format("(CASE WHEN p_partkey % 3 <> 0 THEN lower(p_brand) END)")} AS site, {_FORMS.format("(CASE WHEN p_partkey % 4 <> 0 THEN lower(p_name) END)")} AS shape, {_FORMS.format("lower(p_type)")} AS label FROM part),
+ c1 AS (SELECT *, regexp_extract_all(t, '\\w+') AS tokens, string_split(regexp_replace(t, '({_UNION})', chr(1) || '\\1' || chr(2), 'g'), chr(1)) AS parts FROM c0),
+ c2 AS (SELECT *, list_transform(list_filter(range(2, len(parts) + 1), lambda i: NOT {_NEG.format("replace(array_to_string(parts[:i - 1], ''), chr(2), '')")}), lambda i: string_split(parts[i], chr(2))[1]) AS matches FROM c1),
+ c3 AS (SELECT p_partkey, list_sort(list_distinct(list_transform(matches, lambda m: {_KINDS})
+  || CASE WHEN len(site) > 0 THEN list_transform(list_filter({_listed(captions.SITES)}, lambda w: list_contains(tokens, w) AND NOT list_contains(site, w) AND NOT {_BEFORE}), lambda w: {_named('unsupported_site', 'w')}) ELSE [] END
+  || list_transform(list_filter({_listed(captions.MORPHOLOGY)}, lambda w: len(list_filter(tokens, lambda x: starts_with(x, w))) > 0 AND NOT list_contains(shape, w) AND NOT {_BEFORE}), lambda w: {_named('unsupported_descriptor', 'w')})
+  || CASE WHEN len(label) > 0 AND len(list_filter(label, lambda x: contains(t, x))) = 0 THEN ['diagnosis_not_stated_or_changed'] ELSE [] END
+  || list_transform(list_filter({_listed(captions.TONES)}, lambda w: contains(t, w)), lambda w: {_named('unsupported_skin_tone', 'w')}))) AS v FROM c2)"""
+
+
+@query(f"WITH {CHECK} SELECT p_partkey, len(v) = 0 AS ok, array_to_string(v, '; ') AS violations FROM c3")
 def caption_check(spark, d):
     rows = reported(spark, d)
     said = F.concat(captions.template_caption(F.col("report")), F.when(F.col("p_partkey") % 2 == 0, F.lit(" Treatment: apply 5 mg on the face.")).otherwise(F.lit("")))
     return captions.check_captions(rows.withColumn("caption", said)).select("p_partkey", "ok", F.array_join("violations", "; ").alias("violations"))
 
 
-@query()
+@query(f"WITH r AS (SELECT len(list_filter({_FORMS.format('lower(p_type)')}, lambda x: contains('a clinical photograph showing economy', x))) > 0 AS good FROM part) SELECT CASE WHEN good THEN 'lm_regenerated' ELSE 'template_fallback' END AS route, NOT good AS flagged, count(*) AS n FROM r GROUP BY ALL")
 def caption_routes(spark, d):
+    """A model whose first answer names a shape that no record has, and whose second names one type alone."""
+
     def model(ask: str) -> str:
         return "A clinical photograph showing " + ("economy" if "broke these rules" in ask else "an erythematous plaque")
 
