@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,9 +65,12 @@ def contingency(df: DataFrame, row: str = "band", column: str = "category") -> D
 
 
 def category_association(df: DataFrame, row: str = "band", column: str = "category") -> DataFrame:
-    """One row: chi2, dof, n, cramers_v of observed levels; Yates' correction if dof is 1."""
+    """One row: chi2, dof, p, n, cramers_v of observed levels; Yates' correction if dof is 1. More than ``MOST_LEVELS`` levels are an error."""
     table = contingency(df, row, column)
     rows, columns = table.groupBy(row).agg(F.sum("n").alias("r")), table.groupBy(column).agg(F.sum("n").alias("c"))
+    for name, levels in ((row, rows), (column, columns)):
+        if levels.limit(MOST_LEVELS + 1).count() > MOST_LEVELS:
+            raise ValueError(f"{name} has more than {MOST_LEVELS} levels and is no classification")
     # Observed levels of two classifying columns: a table of a few cells, zero-filled.
     cells = rows.join(columns, F.lit(True)).join(table, [row, column], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     whole = Window.partitionBy()
@@ -77,12 +81,21 @@ def category_association(df: DataFrame, row: str = "band", column: str = "catego
     gap = F.when(F.col("dof") == 1, gap - F.least(gap, F.lit(0.5))).otherwise(gap)
     out = cells.groupBy("dof", "nr", "nc", "total").agg(F.sum(gap * gap / F.col("expected")).alias("chi2"))
     narrow = F.least("nr", "nc") - 1
-    return out.select("chi2", "dof", F.col("total").alias("n"), F.sqrt(F.try_divide(F.col("chi2"), F.col("total") * narrow)).alias("cramers_v"))
+    return out.select("chi2", "dof", _chi2_p(F.col("chi2"), F.col("dof")).alias("p"), F.col("total").alias("n"), F.sqrt(F.try_divide(F.col("chi2"), F.col("total") * narrow)).alias("cramers_v"))
 
 
-def association_p(row) -> float:
-    """p of a row of :func:`category_association`."""
-    return chi2_tail(row["chi2"], row["dof"]) if row["dof"] else 1.0
+#: Levels of a classifying column, at most.
+MOST_LEVELS = 1_000
+
+
+def _chi2_p(chi2: Column, dof: Column) -> Column:
+    """P(chi-square > chi2) of a few rows; 1 without degrees of freedom."""
+
+    @F.arrow_udf("double")
+    def tail(x: pa.Array, k: pa.Array) -> pa.Array:
+        return pa.array([None if a is None else chi2_tail(a, b) if b else 1.0 for a, b in zip(x.to_pylist(), k.to_pylist(), strict=True)], pa.float64())
+
+    return tail(chi2, dof)
 
 
 def shares(df: DataFrame, positive: str = "malignant", scale: str = "fitzpatrick") -> DataFrame:
@@ -90,14 +103,21 @@ def shares(df: DataFrame, positive: str = "malignant", scale: str = "fitzpatrick
 
 
 def malignant_trend(df: DataFrame, positive: str = "malignant", scale: str = "fitzpatrick") -> DataFrame:
-    """One row: slope, intercept, r, stderr, k of the least-squares line of share (percent) on level."""
+    """One row: slope, intercept, r, stderr, k of the least-squares line of share (percent) on level; 95 % t interval (low, high) and p of the slope."""
     points = shares(df, positive, scale).filter(F.col("share").isNotNull()).withColumn("x", F.col(scale).cast("double"))
     fit = points.agg(
         F.regr_slope("share", "x").alias("slope"), F.regr_intercept("share", "x").alias("intercept"), F.corr("share", "x").alias("r"),
         F.regr_sxx("share", "x").alias("sxx"), F.regr_syy("share", "x").alias("syy"), F.count("*").alias("k"),
     )
     stderr = F.sqrt(F.try_divide((1 - F.col("r") * F.col("r")) * F.col("syy"), F.col("sxx") * (F.col("k") - 2)))
-    return fit.select("slope", "intercept", "r", stderr.alias("stderr"), "k")
+
+    @F.arrow_udf("struct<low:double,high:double,p:double>")
+    def interval(slope: pa.Array, error: pa.Array, k: pa.Array) -> pa.Array:
+        rows = [trend_interval({"slope": a, "stderr": b, "k": c}) for a, b, c in zip(slope.to_pylist(), error.to_pylist(), k.to_pylist(), strict=True)]
+        return pa.StructArray.from_arrays([pa.array([r[c] for r in rows], pa.float64(), from_pandas=True) for c in ("low", "high", "p")], names=["low", "high", "p"])
+
+    fit = fit.select("slope", "intercept", "r", stderr.alias("stderr"), "k")
+    return fit.withColumn("of", interval("slope", "stderr", "k")).select("slope", "intercept", "r", "stderr", "k", "of.low", "of.high", "of.p")
 
 
 def trend_interval(row, level: float = 0.95) -> dict[str, float]:

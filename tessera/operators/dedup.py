@@ -42,6 +42,38 @@ def dhash(grid: Column, size: int = 8) -> Column:
     return reduce(lambda x, y: x.bitwiseOR(y), bits)
 
 
+def _resampling(size: int, out: int) -> np.ndarray:
+    """(out x size) weights that reduce or enlarge a line of ``size`` samples by cubic convolution, widened where it shrinks."""
+    scale = size / out
+    wide = max(scale, 1.0)
+    x = np.abs((np.arange(size)[None, :] + 0.5 - (np.arange(out)[:, None] + 0.5) * scale) / wide)
+    near, far = (1.5 * x - 2.5) * x * x + 1, ((-0.5 * x + 2.5) * x - 4) * x + 2
+    weights = np.where(x < 1, near, np.where(x < 2, far, 0.0))
+    return weights / weights.sum(axis=1, keepdims=True)
+
+
+def grey_grid(image: np.ndarray, size: int = 8) -> np.ndarray:
+    """(size x (size + 1)) luminance of an image (height x width x 3, 0 to 255): grey first, then lines, then columns, rounded to whole levels each time."""
+    grey = np.rint(image.astype(float) @ np.array([0.299, 0.587, 0.114]))
+    level = lambda x: np.clip(np.rint(x), 0, 255)
+    return level(_resampling(grey.shape[0], size) @ level(grey @ _resampling(grey.shape[1], size + 1).T))
+
+
+def image_hash(width: Column, height: Column, rgb: Column, size: int = 8) -> Column:
+    """Difference hash of images given as rows of red, green and blue bytes; null where the bytes don't fit width and height."""
+
+    @F.arrow_udf("array<int>")
+    def grid(w: pa.Array, h: pa.Array, data: pa.Array) -> pa.Array:
+        out = []
+        for a, b, c in zip(w.to_pylist(), h.to_pylist(), data.to_pylist(), strict=True):
+            fits = a and b and c is not None and len(c) == 3 * a * b
+            out.append(grey_grid(np.frombuffer(c, np.uint8).reshape(b, a, 3), size).astype(int).ravel().tolist() if fits else None)
+        return pa.array(out, pa.list_(pa.int32()))
+
+    found = grid(width, height, rgb)
+    return F.transform(F.array(found), lambda g: F.when(g.isNotNull(), dhash(g, size)))[0]
+
+
 def hash_classes(df: DataFrame, *, key: str, value: str) -> DataFrame:
     """(value, rep, n): rows of equal ``value`` are one class, named by its least key; combined before the shuffle. Null values have no class."""
     return df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("value")).agg(F.min(key).alias("rep"), F.count("*").alias("n"))

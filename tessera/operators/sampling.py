@@ -30,12 +30,26 @@ COMPARISONS = (
     ("A6", "A2", "loss-level against data-level correction"),
 )
 SEEDS = (2026, 2027, 2028, 2029, 2030)
+# The training presets, as (backbone, pre-training, learning rate, batch size), and what all share.
+PRESETS = (("vit_b_16", "imagenet21k_to_1k", 5e-5, 16), ("resnet50", "imagenet1k_v2", 1e-4, 32))
+SHARED = {
+    "input_size": 224, "optimiser": "adamw", "schedule": "cosine", "warmup_epochs": 5, "weight_decay": 1e-2, "max_epochs": 50, "patience": 7, "loss": "cross_entropy",
+    "class_weighting": "inverse_frequency", "augmentation": "random_resized_crop,horizontal_flip,rotation_15,brightness_contrast_mild", "amp": True, "num_classes": 25, "select_on": "val_macro_auroc",
+}
 
 
 def ladder(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(LADDER_ROWS), LADDER_SCHEMA)
 
 
+def training_presets(spark: SparkSession) -> DataFrame:
+    """A row a (backbone, setting): its preset, what all share, and the setting's colour constancy and loss."""
+    presets = spark.createDataFrame(list(PRESETS), "backbone string, pretrained string, learning_rate double, batch_size int")
+    shared = [F.lit(v).alias(k) for k, v in SHARED.items()]
+    settings = ladder(spark).select(F.col("name").alias("setting"), "colour_constancy", "tone_weighted_loss")
+    return presets.join(settings, F.lit(True)).select("setting", *presets.columns, "colour_constancy", "tone_weighted_loss", *shared, F.array(*[F.lit(s) for s in SEEDS]).alias("seeds"))  # a few fixed rows
+
+
 def available_comparisons(spark: SparkSession, settings: DataFrame, column: str = "setting") -> DataFrame:
     """Comparisons whose both settings were run."""
     table = spark.createDataFrame(list(COMPARISONS), "treatment string, comparator string, question string")

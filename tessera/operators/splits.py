@@ -34,8 +34,8 @@ def _first_fold(counts: np.ndarray, folds: int) -> np.ndarray:
     return mine
 
 
-#: Shards that groups are dealt to, and groups that one shard may have.
-SHARDS, MOST_GROUPS = 16, 1_000_000
+#: Groups that one shard may have.
+MOST_GROUPS = 200_000
 
 
 def folds(fractions: tuple[float, float, float]) -> tuple[int, int]:
@@ -49,12 +49,12 @@ def folds(fractions: tuple[float, float, float]) -> tuple[int, int]:
     return found
 
 
-def stratified_group_split(df: DataFrame, *, label: str = "target_class", band: str = "band", group: str = "group_key", fractions=(0.7, 0.1, 0.2), seed: int = 2026, shards: int = SHARDS) -> DataFrame:
+def stratified_group_split(df: DataFrame, *, label: str = "target_class", band: str = "band", group: str = "group_key", fractions=(0.7, 0.1, 0.2), seed: int = 2026, shards: int = 1) -> DataFrame:
     """``df`` with a ``split`` column; every group lies in one split and every row is kept.
 
     Groups are dealt out to ``shards`` by hash and each shard is split by itself (greedily, with its own strata), so the
-    work is spread over the cluster. A task holds a count for each group and stratum of a shard: ``shards`` should grow with the
-    corpus, about one for 100,000 groups; a shard of more than ``MOST_GROUPS`` is an error. A row without a group is an
+    work is spread over the cluster. A task holds a count for each group and stratum of a shard, and shards of a few groups are
+    dealt unevenly: choose ``shards`` for thousands of groups each; a shard of more than ``MOST_GROUPS`` is an error. A row without a group is an
     error; a null label or band is a stratum of its own.
     """
     outer, inner = folds(tuple(fractions))

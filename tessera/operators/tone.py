@@ -15,6 +15,7 @@ BINS = (
     (float("-inf"), -30.0, "dark", "VI", "darker"),
 )
 BOUNDARY = 28.0
+METHOD = "ita_cielab_meanLb"
 
 
 def finite(x: Column) -> Column:
@@ -49,20 +50,21 @@ def confidence(n: Column, iqr: Column, angle: Column, min_pixels: float = 5000,
 
 
 def estimate(pixels: DataFrame, image: str = "image_id", lightness: str = "L", b: str = "b", **thresholds) -> DataFrame:
-    """Per image: ita (of mean L and mean b), iqr of pixel angles, n, class, confidence. One shuffle on the image."""
+    """Per image: ita (of mean L and mean b), iqr of pixel angles, n, class, confidence, method. One shuffle on the image."""
     angles = pixels.withColumn("_ita", ita(F.col(lightness), F.col(b)))
     per = angles.groupBy(image).agg(F.avg(lightness).alias("mean_l"), F.avg(b).alias("mean_b"), F.percentile("_ita", F.array(F.lit(0.25), F.lit(0.75))).alias("_q"), F.count("*").alias("n_skin_pixels"))
     per = per.withColumn("ita", ita(F.col("mean_l"), F.col("mean_b"))).withColumn("iqr", F.col("_q")[1] - F.col("_q")[0])
     per = per.withColumn("_c", confidence(F.col("n_skin_pixels"), F.col("iqr"), F.col("ita"), **thresholds)).withColumn("_k", classify(F.col("ita")))
-    return per.select(image, "ita", "iqr", "n_skin_pixels", "_k.chardon", "_k.fitzpatrick_group", "_k.band", F.col("_c.score").alias("confidence"), F.col("_c.level").alias("confidence_level"))
+    return per.select(image, "ita", "iqr", "n_skin_pixels", "_k.chardon", "_k.fitzpatrick_group", "_k.band", F.col("_c.score").alias("confidence"), F.col("_c.level").alias("confidence_level"), F.lit(METHOD).alias("method"))
 
 
 def resolve(source_band: Column, ita_band: Column, level: Column) -> Column:
-    """struct(band, provenance, disagrees): the source's band, else a confident angle's, else uncertain."""
+    """struct(band, provenance, ita_band, disagrees): the source's band, else a confident angle's, else uncertain; the angle's band is kept beside it."""
     known = lambda c: F.coalesce(c.isin("lighter", "darker"), F.lit(False))
     use = known(ita_band) & F.coalesce(level == "high", F.lit(False))
     return F.struct(
         F.when(known(source_band), source_band).when(use, ita_band).otherwise("uncertain").alias("band"),
         F.when(known(source_band), "source").when(use, "ita_high_confidence").otherwise("none").alias("provenance"),
-        (known(source_band) & known(ita_band) & (source_band != ita_band)).alias("disagrees"),
+        F.coalesce(ita_band, F.lit("uncertain")).alias("ita_band"),
+        F.coalesce(known(source_band) & known(ita_band) & (source_band != ita_band), F.lit(False)).alias("disagrees"),
     )

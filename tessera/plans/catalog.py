@@ -103,7 +103,7 @@ def _chi_sql(category: str) -> str:
     return f"""WITH {REC}, t AS (SELECT band, {category} AS cat, count(*) AS n FROM r GROUP BY ALL), rr AS (SELECT band, sum(n) AS r FROM t GROUP BY 1), cc AS (SELECT cat, sum(n) AS c FROM t GROUP BY 1),
  x AS (SELECT coalesce(n, 0)::DOUBLE AS n, (r * c)::DOUBLE / (SELECT sum(n) FROM t) AS e FROM rr CROSS JOIN cc LEFT JOIN t USING (band, cat)), s AS (SELECT (SELECT count(*) FROM rr) AS nr, (SELECT count(*) FROM cc) AS nc, (SELECT sum(n)::BIGINT FROM t) AS n),
  q AS (SELECT sum(pow(CASE WHEN (nr - 1) * (nc - 1) = 1 THEN abs(x.n - e) - least(0.5, abs(x.n - e)) ELSE abs(x.n - e) END, 2) / e) AS chi2 FROM x, s)
- SELECT round(chi2, 6) AS chi2, (nr - 1) * (nc - 1) AS dof, n, round(sqrt(chi2 / nullif(n * (least(nr, nc) - 1), 0)), 6) AS cramers_v FROM q, s"""
+ SELECT round(chi2, 6) AS chi2, (nr - 1) * (nc - 1) AS dof, round(CASE (nr - 1) * (nc - 1) WHEN 2 THEN exp(-chi2 / 2) WHEN 1 THEN 1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 80), lambda i: pow(-1, i) * pow(sqrt(chi2 / 2), 2 * i + 1) / (gamma(i + 1) * (2 * i + 1)))) END, 6) AS p, n, round(sqrt(chi2 / nullif(n * (least(nr, nc) - 1), 0)), 6) AS cramers_v FROM q, s"""
 
 
 @query(f"WITH {REC} SELECT band, category, count(*) AS n FROM r GROUP BY ALL")
@@ -121,8 +121,8 @@ def category_association_yates(spark, d):
     return rounded(audit.category_association(recs(spark, d, "l_linestatus")))
 
 
-@query(f"""WITH {REC}, p AS (SELECT fitzpatrick::DOUBLE AS x, avg((category = 'r')::INT) * 100 AS y FROM r GROUP BY 1), f AS (SELECT regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept, corr(y, x) AS r, regr_sxx(y, x) AS sxx, regr_syy(y, x) AS syy, count(*) AS k FROM p)
- SELECT round(slope, 6) AS slope, round(intercept, 6) AS intercept, round(r, 6) AS r, round(sqrt((1 - r * r) * syy / (sxx * (k - 2))), 6) AS stderr, k FROM f""")
+@query(f"""WITH {REC}, p AS (SELECT fitzpatrick::DOUBLE AS x, avg((category = 'r')::INT) * 100 AS y FROM r GROUP BY 1), f AS (SELECT regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept, corr(y, x) AS r, regr_sxx(y, x) AS sxx, regr_syy(y, x) AS syy, count(*) AS k FROM p), g AS (SELECT *, sqrt((1 - r * r) * syy / (sxx * (k - 2))) AS se FROM f), h AS (SELECT *, pow(slope / se, 2) AS q FROM g)
+ SELECT round(slope, 6) AS slope, round(intercept, 6) AS intercept, round(r, 6) AS r, round(se, 6) AS stderr, k, round(slope - 2.7764451051977987 * se, 6) AS low, round(slope + 2.7764451051977987 * se, 6) AS high, round(1 - 0.75 * sqrt(q / (1 + q / 4)) * (1 - q / (1 + q / 4) / 12), 6) AS p FROM h""")  # of six levels, so four degrees of freedom
 def malignant_trend(spark, d):
     return rounded(audit.malignant_trend(recs(spark, d), positive="r"))
 
@@ -321,20 +321,19 @@ IMG = f"""{IT}, q AS (SELECT l_orderkey, avg(L) AS ml, avg(b) AS mb, quantile_co
  y AS (SELECT *, CASE WHEN ita IS NULL THEN 0 ELSE abs(ita - 28) END AS mg FROM z), c AS (SELECT *, (least(n / 4.0::DOUBLE, 1) + CASE WHEN iqr IS NULL THEN 0 ELSE least(greatest(1 - iqr / 40, 0), 1) END + least(mg / 3, 1)) / 3 AS confidence, CASE WHEN n >= 4 AND iqr <= 40 AND mg >= 3 THEN 'high' ELSE 'low' END AS confidence_level, {CLS.format(*_NAMES[2])} AS band FROM y)"""
 
 
-@query(f"WITH {IMG} SELECT l_orderkey, round(ita, 6) + 0.0::DOUBLE AS ita, round(iqr, 6) AS iqr, n AS n_skin_pixels, {CLS.format(*_NAMES[0])} AS chardon, {CLS.format(*_NAMES[1])} AS fitzpatrick_group, band, round(confidence, 6) AS confidence, confidence_level FROM c")
+@query(f"WITH {IMG} SELECT l_orderkey, round(ita, 6) + 0.0::DOUBLE AS ita, round(iqr, 6) AS iqr, n AS n_skin_pixels, {CLS.format(*_NAMES[0])} AS chardon, {CLS.format(*_NAMES[1])} AS fitzpatrick_group, band, round(confidence, 6) AS confidence, confidence_level, 'ita_cielab_meanLb' AS method FROM c")
 def image_ita(spark, d):
     return rounded(tone.estimate(pixels(spark, d).drop("ita"), "l_orderkey", min_pixels=4, max_iqr=40.0))
 
 
 @query(f"""WITH {IMG}, s AS (SELECT *, CASE l_orderkey % 4 WHEN 0 THEN 'lighter' WHEN 1 THEN 'darker' WHEN 2 THEN 'uncertain' END AS src FROM c)
  SELECT l_orderkey, CASE WHEN src IN ('lighter', 'darker') THEN src WHEN band <> 'uncertain' AND confidence_level = 'high' THEN band ELSE 'uncertain' END AS band, CASE WHEN src IN ('lighter', 'darker') THEN 'source' WHEN band <> 'uncertain' AND confidence_level = 'high' THEN 'ita_high_confidence' ELSE 'none' END AS provenance,
- coalesce(src IN ('lighter', 'darker') AND band <> 'uncertain' AND src <> band, false) AS disagrees FROM s""")
+ band AS ita_band, coalesce(src IN ('lighter', 'darker') AND band <> 'uncertain' AND src <> band, false) AS disagrees FROM s""")
 def resolve_band(spark, d):
     img = tone.estimate(pixels(spark, d).drop("ita"), "l_orderkey", min_pixels=4, max_iqr=40.0)
     k = F.col("l_orderkey") % 4
     src = F.when(k == 0, "lighter").when(k == 1, "darker").when(k == 2, "uncertain")
-    out = img.select("l_orderkey", tone.resolve(src, F.col("band"), F.col("confidence_level")).alias("r")).select("l_orderkey", "r.*")
-    return out.withColumn("disagrees", F.coalesce("disagrees", F.lit(False)))
+    return img.select("l_orderkey", tone.resolve(src, F.col("band"), F.col("confidence_level")).alias("r")).select("l_orderkey", "r.*")
 
 
 @query("SELECT r_regionkey, v.value, v.want AS band FROM region CROSS JOIN (VALUES ('1', 'lighter'), (' 3 ', 'lighter'), ('4', 'darker'), ('6', 'darker'), ('III', 'lighter'), ('v', 'darker'), ('3.0', 'uncertain'), ('7', 'uncertain'), ('', 'uncertain'), (NULL, 'uncertain')) v(value, want)")
@@ -393,7 +392,7 @@ SP = f"{PO}, s AS (SELECT *, CASE WHEN k < 7 THEN 'train' WHEN k < 8 THEN 'valid
 
 @query()
 def grouped_split(spark, d):
-    return splits.stratified_group_split(pool(spark, d), label="disease_label", group="o_custkey").select("o_orderkey", "o_custkey", "split")
+    return splits.stratified_group_split(pool(spark, d), label="disease_label", group="o_custkey", shards=8).select("o_orderkey", "o_custkey", "split")
 
 
 @query(f"WITH {SP} SELECT disease_label, count(DISTINCT split) AS n_splits FROM s GROUP BY 1 HAVING count(DISTINCT split) > 1 ORDER BY 1 LIMIT 50")

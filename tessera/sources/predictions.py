@@ -49,6 +49,34 @@ def synthetic(spark: SparkSession, *, n: int = 1800, n_classes: int = 12, n_grou
     return rows.select("setting", "seed", "row_id", "y_true", "band", "group", F.transform("_raw", lambda x: x / total).alias("probs"))
 
 
+_PAIR = r"([^/]+)_(train|test)\.npz$"
+
+
+def load_feature_archives(spark: SparkSession, folder: str) -> DataFrame:
+    """(variant, part, row_id, features, label, band) of archives named <variant>_train.npz and <variant>_test.npz.
+
+    A variant that lacks one of the two is skipped; ``band`` is null where an archive has none. Read through Spark, so any file system does.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npz").load(folder)
+    files = files.select(F.regexp_extract("path", _PAIR, 1).alias("variant"), F.regexp_extract("path", _PAIR, 2).alias("part"), "content").filter("part <> ''")
+    whole = files.groupBy("variant").agg(F.count_distinct("part").alias("parts")).filter("parts = 2").select("variant")
+
+    def unpack(batches):
+        import numpy as np
+        import pandas as pd
+
+        for pdf in batches:
+            for variant, part, content in zip(pdf["variant"], pdf["part"], pdf["content"], strict=True):
+                data = np.load(io.BytesIO(content), allow_pickle=False)
+                n = len(data["labels"])
+                yield pd.DataFrame({
+                    "variant": variant, "part": part, "row_id": np.arange(n), "features": list(data["features"].astype(float)),
+                    "label": data["labels"].astype("int32"), "band": data["band"].astype(str) if "band" in data else None,
+                })
+
+    return files.join(F.broadcast(whole), "variant", "left_semi").select("variant", "part", "content").mapInPandas(unpack, "variant string, part string, row_id long, features array<double>, label int, band string")  # a row a variant
+
+
 def load_features(spark: SparkSession, path: str) -> DataFrame | None:
     """Feature rows of one variant and split (Parquet), or None where they are missing."""
     from pyspark.errors import AnalysisException

@@ -143,7 +143,7 @@ def test_components_of_a_chain_and_a_star(spark):
     assert got == {**{i: 0 for i in range(61)}, **{1000 + i: 1000 for i in range(200)}}
 
 
-def test_sampling(spark):
+def test_sampling(spark, tmp_path):
     rows = [(c, b) for c in range(25) for b, n in (("lighter", 537), ("darker", 335)) for _ in range(n)]
     pool = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id int, disease_label int, band string")
     assert sampling.max_feasible_n(pool).first()["max_n"] == 670
@@ -153,13 +153,18 @@ def test_sampling(spark):
     for n, rule in ((671, "balanced"), (None, "natural"), (5, "odd")):
         with pytest.raises(ValueError):
             sampling.sample_training_set(pool, n, rule, row_id="id")
-    assert set(workflows.sample_ablations(pool, 600, row_id="id")) == set(sampling.LADDER)
+    rungs = workflows.sample_ablations(pool, 600, row_id="id")
+    assert set(rungs) == set(sampling.LADDER)
+    workflows.write_ablations({k: rungs[k] for k in ("A1", "A5")}, str(tmp_path), 600)
+    manifest = {r["setting"]: r for r in spark.read.json(f"{tmp_path}/ablation_manifest").collect()}
+    assert manifest["A1"]["n_rows"] == 15000 and manifest["A5"]["colour_constancy"] and spark.read.parquet(f"{tmp_path}/train").groupBy("setting").count().count() == 2
 
 
-def test_evaluation_and_bootstrap(spark):
+def test_evaluation_and_bootstrap(spark, tmp_path):
     df = predictions.synthetic(spark, n=400, n_classes=4, n_groups=80, settings=("A1", "A2"), seeds=(1, 2)).cache()
     out = workflows.evaluate(df, n_boot=20)
     point = out["metrics"].collect()
+    assert len(workflows.write(out, str(tmp_path))) == 5 and spark.read.csv(f"{tmp_path}/ablation_comparisons", header=True).count() == 1
     assert len(point) == 4 and all(0 <= r["auroc"] <= 1 and r["abs_delta"] == abs(r["delta"]) for r in point)
     assert out["table"].count() == 2 and out["intervals"].first()["low"] <= out["intervals"].first()["high"]
     test = out["comparisons"].collect()
@@ -218,7 +223,7 @@ def test_contrastive_loss_by_batches(spark):
 def test_split_keeps_rows_and_refuses_bad_input(spark):
     rows = [(i, None if i % 7 == 0 else "a", None if i % 5 == 0 else "lighter", f"g{i % 90}") for i in range(900)]
     df = spark.createDataFrame(rows, "id int, label string, band string, group_key string")
-    for shards in (1, 16):
+    for shards in (1, 4):
         out = splits.stratified_group_split(df, label="label", shards=shards)
         assert out.count() == 900 and splits.leaking_groups(out).count() == 0 and {r[0] for r in out.select("split").distinct().collect()} == set(splits.SPLITS)
     with pytest.raises(ValueError, match="without a group_key"):
@@ -244,6 +249,65 @@ def test_archives(spark, tmp_path):
     assert len(got) == 3 and got[0]["setting"] == "A1" and got[0]["seed"] == 7 and got[0]["probs"] == [0.5, 0.5]
 
 
+def test_archives_are_written_and_read_back(spark, tmp_path):
+    df = predictions.synthetic(spark, n=40, n_classes=3, n_groups=9, settings=("A1", "A2"), seeds=(1,))
+    assert sinks.write_archives(df, str(tmp_path)) == ["A1_seed1.npz", "A2_seed1.npz"]
+    back = predictions.load_archives(spark, str(tmp_path))
+    key = lambda some: {(r["setting"], r["seed"], r["row_id"]): (r["y_true"], r["band"], r["group"], [float(np.float32(p)) for p in r["probs"]]) for r in some.collect()}
+    assert key(back) == key(df)
+    (tmp_path / "external").mkdir()  # an external archive has a group of its own and no band
+    np.savez(tmp_path / "external" / "A3_seed4.npz", probs=np.full((2, 2), 0.5), y_true=np.array([0, 1]), fst_group=np.array(["I-II", "V-VI"]))
+    assert sorted(r["band"] for r in predictions.load_archives(spark, str(tmp_path / "external"), "fst_group").collect()) == ["I-II", "V-VI"]
+
+
+def test_feature_archives_and_image_text(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    for variant, parts in (("class_name", ("train", "test")), ("template", ("train",))):
+        for part in parts:
+            label = np.arange(60) % 3
+            band = {"band": np.where(np.arange(60) % 2, "lighter", "darker")} if part == "test" else {}
+            np.savez(tmp_path / f"{variant}_{part}.npz", features=rng.normal(size=(60, 4)) + label[:, None] * np.array([3.0, 0, -3, 1]), labels=label, **band)
+    rows = predictions.load_feature_archives(spark, str(tmp_path))
+    assert rows.count() == 120 and {r[0] for r in rows.select("variant").distinct().collect()} == {"class_name"}
+    found = workflows.image_text(rows).first()
+    assert found["variant"] == "class_name" and found["auroc"] > 0.95
+    made = workflows.write({"image_text": workflows.image_text(rows)}, str(tmp_path / "out"))
+    assert spark.read.json(made[0]).count() == 1
+
+
+def test_image_hash(spark):
+    ramp = np.tile(np.arange(0, 180, 5, dtype=np.uint8)[None, :, None], (20, 1, 3))
+    rows = [(1, 36, 20, ramp.tobytes()), (2, 36, 20, ramp[:, ::-1].tobytes()), (3, 9, 8, np.full((8, 9, 3), 7, np.uint8).tobytes()), (4, 5, 5, b"short"), (5, None, None, None)]
+    df = spark.createDataFrame(rows, "id int, w int, h int, rgb binary").select("id", dedup.image_hash(F.col("w"), F.col("h"), F.col("rgb")).alias("hash"))
+    assert {r["id"]: r["hash"] for r in df.collect()} == {1: -1, 2: 0, 3: 0, 4: None, 5: None}
+    rng = np.random.default_rng(1)
+    image = rng.integers(0, 256, (8, 9, 3))
+    grey = np.rint(image @ np.array([0.299, 0.587, 0.114]))
+    assert (dedup.grey_grid(image) == grey).all()  # of its own size already
+    small, large = dedup.grey_grid(np.kron(image, np.ones((7, 7, 1)))), grey
+    assert np.abs(small - large).mean() < 30  # each cell is mostly its own block
+
+
+def test_presets(spark):
+    rows = sampling.training_presets(spark).collect()
+    assert len(rows) == 14 and {(r["backbone"], r["learning_rate"], r["batch_size"]) for r in rows} == {("vit_b_16", 5e-5, 16), ("resnet50", 1e-4, 32)}
+    assert {r["setting"] for r in rows if r["tone_weighted_loss"]} == {"A6"}
+
+
+def test_p_values_and_intervals(spark):
+    from tessera.operators import audit
+
+    df = spark.createDataFrame([("lighter", "a")] * 30 + [("lighter", "b")] * 10 + [("darker", "a")] * 15 + [("darker", "b")] * 25, "band string, category string")
+    row = audit.category_association(df).first()
+    assert row["dof"] == 1 and row["p"] == pytest.approx(stats.chi2_tail(row["chi2"], 1)) and 0 < row["p"] < 0.01
+    assert audit.category_association(df.filter("category = 'a'")).first()["p"] == 1.0
+    with pytest.raises(ValueError, match="levels"):
+        audit.category_association(spark.range(1500).select(F.lit("x").alias("band"), F.col("id").alias("category")))
+    trend = spark.createDataFrame([(k, "malignant" if i < 10 + 2 * k + k % 2 else "benign") for k in range(1, 7) for i in range(100)], "fitzpatrick int, category string")
+    got = audit.malignant_trend(trend).first()
+    assert got["low"] < got["slope"] < got["high"] and got["high"] - got["slope"] == pytest.approx(2.776445 * got["stderr"], abs=1e-5) and got["p"] < 0.01
+
+
 def test_reports_and_captions(spark, tmp_path):
     df = spark.createDataFrame([("c1", "tinea corporis", "Forearm")], "id string, label string, site string")
     df = reports.build_report(df, {"case_id": F.col("id"), "disease_label": F.col("label"), "analysis_band": F.lit("darker"), "anatomical_site": F.col("site")})
@@ -281,12 +345,17 @@ def test_reports_and_captions(spark, tmp_path):
     reports.write_schema(str(tmp_path / "schema.json"))
 
 
-def test_corpus(spark):
+def test_corpus(spark, tmp_path):
     rows = [("a", "foo", f"p{i % 40}", "lighter" if i % 3 else "darker") for i in range(200)] + [("a", "junk", "p1", "lighter")]
     manifest = spark.createDataFrame(rows, "source_dataset string, source_label string, patient_id string, band string")
     table = spark.createDataFrame([("a", "foo", "foo", "x", "exact", None, None, 0, None)], labels.MAP_SCHEMA).withColumn("excluded", F.col("excluded") == 1)
     out = workflows.build_corpus(manifest, table)
     assert out["corpus"].count() == 200 and out["splits"].count() == 4
+    workflows.write(out, str(tmp_path))
+    assert spark.read.parquet(f"{tmp_path}/corpus").filter("split = 'train'").count() > 100 and spark.read.json(f"{tmp_path}/supplement_field_coverage").count() == 17
+    assert sinks.read_corpus(spark, f"{tmp_path}/corpus").select("disease_label").first()[0] == "foo"
+    sinks.write_table(out["corpus"], f"{tmp_path}/as_csv", kind="csv")
+    assert sinks.read_corpus(spark, f"{tmp_path}/as_csv", "test", kind="csv").count() == sinks.read_corpus(spark, f"{tmp_path}/corpus", "test").count()
 
 
 def test_colour(spark):
