@@ -11,8 +11,10 @@ The windows are a stated query set. They are taken in blocks of at most ``block_
 one block is one narrow pass over the documents (no shuffle), and beyond one block the state is cut
 to the shared folder between the passes, so neither the driver nor a worker holds more than a block.
 
-Null texts have no words. An empty benchmark hits nothing. A test text that occurs twice counts under
-both its ids; a null id marks words as hit but names no item. Repeated document rows each get a row.
+Null and empty texts have no words. An empty benchmark hits nothing, and no documents give no rows. A very long
+text is a chunk of its own and is searched whole. A test text that occurs twice counts under both its ids; a null
+id marks words as hit but names no item. Repeated document rows each get a row. ``decontaminate`` reads the named
+columns alone, so others cannot clash; ``with_hits`` adds one column, whose name the caller chooses.
 """
 
 from __future__ import annotations

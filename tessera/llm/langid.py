@@ -10,7 +10,9 @@ language, taken by a hash of doc_id (a documented bound; every language is sampl
 its own count allows). Counting is partial in each partition and then by (language, n-gram); what
 reaches the driver is ``profile`` n-grams a language. Prediction is one narrow pass over whole texts.
 
-Null texts and texts without a letter are ``und`` with score 0. With no labelled rows all is ``und``.
+Null texts and texts without a letter are ``und`` with score 0. With no labelled rows all is ``und``, and no rows
+give no rows. A very long text is profiled whole. Repeated rows each get a row, and each count where they are learned
+from. Other columns are not read, so their names cannot clash.
 """
 
 from __future__ import annotations

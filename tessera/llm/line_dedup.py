@@ -10,7 +10,9 @@ A line's key is 128 bits of hash. Removal is a narrow pass with the keys broadca
 most ``broadcast_lines`` of them (16 bytes each, counted first); beyond that, lines are joined by key.
 
 Null texts have no lines; a null site counts as no site, but its documents are cleaned too. Repeated
-rows each get a row. Lines are removed whole and the rest keeps its order and its line breaks.
+rows each get a row, and add no site. Lines are removed whole and the rest keeps its order and its line breaks. A line
+on exactly ``min_sites`` sites is boilerplate. A very long text is one row, cut into its lines. No rows give no rows.
+Other columns are not read, so their names cannot clash.
 """
 
 from __future__ import annotations

@@ -8,7 +8,9 @@ Base kinds (matches that are too short still use up their text, then they are dr
 ``assign``, ``access``, ``hex``. Kinds with a checksum, added by the method: ``github`` and ``npm``
 (30 characters and their CRC-32 in six base-62 digits), ``xprv`` (base-58 with a double SHA-256).
 
-Null and empty texts have no spans. Offsets are code points, the end is exclusive.
+Null and empty texts have no spans. Offsets are code points, the end is exclusive. Spans of several kinds may
+begin at one place; they are listed in the order of ``KINDS``. A very long text is scanned whole in one pass. Repeated
+rows each get a row, and no rows give none. Other columns are not read, so their names cannot clash.
 """
 
 from __future__ import annotations

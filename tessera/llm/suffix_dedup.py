@@ -24,7 +24,8 @@ key has to fit a task.
 
 Null and empty texts have no bytes. Bytes are those of UTF-8; repeats within a document count. Rows are
 told apart by their place in the input, which must be a stable scan (files or a checkpoint); repeated
-rows are copies of each other.
+rows are copies of each other, and all of both goes. A text longer than a segment is taken in overlapping pieces. No
+rows give no rows. Other columns are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
