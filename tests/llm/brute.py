@@ -110,6 +110,40 @@ def op6(docs):
     return out
 
 
+def op7(docs, size=400):
+    """docs: (id, text, lang). (id, held out, language, score); every learnable row is learned from."""
+
+    def grams(text):
+        words, word = [], ""
+        for c in (text or "") + " ":
+            if c.isalpha():
+                word += c.lower() if len(c.lower()) == 1 else c
+            elif word:
+                words.append(word)
+                word = ""
+        line = "\0" + "".join(w + "\0" for w in words) if words else ""
+        pieces = [c for c in line if c != "\0"] + [line[i : i + 2] for i in range(len(line) - 1)] + [line[i : i + 3] for i in range(len(line) - 2) if line[i + 1] != "\0"]
+        return Counter(pieces)
+
+    ranked = lambda counts: [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], len(x[0]), x[0]))][:size]
+    held = lambda doc: doc is not None and zlib.crc32(str(doc).encode()) % 3 == 1
+    learned = defaultdict(Counter)
+    for doc, text, lang in docs:
+        if not held(doc) and lang is not None and text is not None:
+            learned[lang] += grams(text)
+    profiles = {lang: {g: i for i, g in enumerate(ranked(c))} for lang, c in learned.items()}
+    out = []
+    for doc, text, _ in docs:
+        best = ranked(grams(text))
+        if not best or not profiles:
+            out.append((doc, held(doc), "und", 0.0))
+            continue
+        far = {lang: sum(abs(ranks[g] - i) if g in ranks else size for i, g in enumerate(best)) for lang, ranks in profiles.items()}
+        lang = min(sorted(far), key=far.get)
+        out.append((doc, held(doc), lang, 1 - far[lang] / (size * len(best))))
+    return out
+
+
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
 

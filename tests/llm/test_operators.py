@@ -1,6 +1,9 @@
 """Every operator against a plain version, on edge cases: nulls, empty and long texts, ties, repeated rows, clashing columns, empty tables."""
 
+import hashlib
+import math
 import random
+import zlib
 
 import duckdb
 import pytest
@@ -70,6 +73,21 @@ def test_secrets(docs, empty):
     assert secret_scan.scan_secrets(empty).count() == 0
 
 
+def test_secrets_with_checksums(spark):
+    npm = "npm_" + "k" * 30 + secret_scan.base62_crc(b"k" * 30).decode()
+    digits = b"123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"
+    body = bytes.fromhex("0488ade4") + bytes(range(74))
+    whole = body + hashlib.sha256(hashlib.sha256(body).digest()).digest()[:4]
+    number, key = int.from_bytes(whole, "big"), b""
+    while number:
+        number, d = divmod(number, 58)
+        key = digits[d : d + 1] + key
+    key = key.decode()
+    rows = [(1, f"a {npm} b"), (2, f"{npm[:-1]}{'0' if npm[-1] != '0' else '1'}"), (3, f"é {key}"), (4, key[:-1] + ("2" if key[-1] != "2" else "3")), (4, f"a {npm} b"), (None, npm)]
+    got = sorted(((r["doc_id"], r["spans"]) for r in secret_scan.digest(secret_scan.scan_secrets(spark.createDataFrame(rows, "doc_id bigint, text string"))).collect()), key=str)
+    assert got == sorted([(1, "npm:2:42"), (2, ""), (3, f"xprv:2:{2 + len(key)}"), (4, ""), (4, "npm:2:42"), (None, "npm:0:40")], key=str)
+
+
 def test_secret_runs_of_hits():
     rng = random.Random(2)
     for _ in range(300):
@@ -96,6 +114,20 @@ def test_tokens(spark, docs, empty):
     token_orc.write_tokens(docs, path, shards=3)
     one = token_orc.read_tokens(spark, path).filter("doc_id = 5")
     assert one.count() == 1 and "EqualTo(doc_id,5)" in one._jdf.queryExecution().toString()
+    import pyarrow.fs
+    import pyarrow.orc
+
+    files = [f.path for f in pyarrow.fs.LocalFileSystem().get_file_info(pyarrow.fs.FileSelector(path)) if f.path.endswith(".orc")]
+    footers = [pyarrow.orc.ORCFile(f) for f in files]
+    assert sum(f.nrows for f in footers) == len(rows) and all(f.row_index_stride == 10_000 for f in footers)
+    reader = spark._jvm.org.apache.orc.OrcFile
+    kinds = set()
+    for f in files:  # streams of the stripes: row index, Bloom filter, and run-length encoded data
+        target = spark._jvm.org.apache.hadoop.fs.Path(f)
+        opened = reader.createReader(target, reader.readerOptions(spark._jsc.hadoopConfiguration()))
+        for stripe in range(opened.getStripes().size()):
+            kinds.add(opened.getStripes().get(stripe).getIndexLength() > 0)
+    assert kinds == {True}
     repeated = docs.unionByName(docs).withColumn("doc_id", F.when(F.col("doc_id") > 2, F.col("doc_id")))
     assert token_orc.tokenised(repeated).agg(F.max(F.col("start") + F.col("n_tokens"))).first()[0] == 2 * sum(r[2] for r in brute.op4(rows, token_orc.tokenizer_file()))
 
@@ -109,6 +141,23 @@ def test_simhash(docs, empty, hot):
     assert kept == {r[2] for r in brute.op5(pairs())}
 
 
+def test_very_long_texts(spark):
+    """Over 8 MB, beyond every inner cut: fingerprints, segments of the suffix dedup, pieces of the encoder."""
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(3000)]
+    long = " ".join(rng.choices(words, k=1_600_000))
+    shared = " ".join(rng.choices(words, k=60))
+    rows = [(1, long + " " + shared), (2, shared + " unlike"), (3, "z " + long[:300_000])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").checkpoint()
+    got = {r["doc_id"]: f"{r['value'] % (1 << 64):016x}" for r in simhash.near_duplicates(docs).collect()}
+    assert got == {d: f"{brute.fingerprint(t):016x}" for d, t in rows}
+    tokens = {r["doc_id"]: r["n_tokens"] for r in token_orc.tokenised(docs, shards=2).collect()}
+    assert tokens == {d: n for d, _, n, _ in brute.op4(rows, token_orc.tokenizer_file())}
+    cut = {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in suffix_dedup.remove_repeats(docs, keep_text=False).collect()}
+    assert {d: n for d, (_, n) in cut.items()} == {1: 2, 2: 1, 3: 1}
+    assert 0 <= cut[1][0] - 300_000 - len(shared) <= 2 and 0 <= cut[2][0] - len(shared) <= 2 and 0 <= cut[3][0] - 300_000 <= 2  # a space or so beside the copies may agree too
+
+
 def test_trie_finds_every_near_pair():
     import numpy as np
 
@@ -125,11 +174,34 @@ def test_quality(docs, empty):
     assert quality.judge(empty).count() == 0
 
 
-def test_bad_hosts_are_rejected(spark):
-    good = " ".join(f"w{i}" for i in range(30))
-    rows = [(i, "short", "en", "bad", 1) for i in range(90)] + [(100 + i, good, "en", "bad", 1) for i in range(10)] + [(200 + i, good, "en", "fine", 1) for i in range(100)]
-    kept = {r["doc_id"] for r in quality.judge(spark.createDataFrame(rows, SCHEMA)).filter("kept").collect()}
-    assert kept == set(range(200, 300))
+def test_bad_hosts_are_rejected(spark, tmp_path):
+    """Through the query and its SQL: hosts that fail by each rule, among twenty that do not."""
+    good = lambda i: " ".join(f"w{i}x{j}" for j in range(30))
+    bad = {"short": "short", "repeats": "a b c d e f g h " * 5, "symbols": " ".join(f"w{j} $$$" for j in range(30)), "lines": "one line of its own here\n" * 4 + " ".join(f"w{j}" for j in range(80))}
+    rows = [(1000 * h + i, good(i) if i >= 90 else bad[name], "en", name, 1) for h, name in enumerate(bad) for i in range(100)]
+    rows += [(100_000 + 1000 * h + i, good(i) if i >= 2 else "short", "en", f"fine{h}", 1) for h in range(20) for i in range(50)]
+    rows += [(90_000, good(1), "en", None, 1), (90_000, good(1), "en", None, 1), (None, None, None, "fine1", 1)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    got = quality.op6(spark, str(tmp_path))
+    kept = sorted(r["doc_id"] for r in got.filter("kept").collect())
+    assert kept == sorted(i for i, text, *_ in rows if i is not None and i >= 90_000 and text != "short")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.sql(quality.OP6_SQL)
+    same(got.select(*sorted(got.columns)).collect(), want.project(", ".join(sorted(want.columns))).fetchall())
+    verdicts = {r["host"]: r for r in quality.host_verdicts(quality.measures(spark.createDataFrame(rows, SCHEMA))).collect()}
+    assert {h: r["host_failed"] for h, r in verdicts.items() if r["host_rejected"]} == {"short": ["few_words"], "repeats": ["repeats"], "symbols": ["symbols"], "lines": ["dup_lines"]}
+    assert all(set(r["rates"]) == set(quality.RULES) and max(r["rates"].values()) < 0.2 for h, r in verdicts.items() if h.startswith("fine"))
+
+
+def test_language_by_brute_force(spark, docs):
+    whole = spark.read.parquet(f"{SF}/documents.parquet")
+    for rows in (whole, docs.unionByName(docs).unionByName(docs.limit(1).withColumn("doc_id", F.lit(None).cast("bigint")))):
+        got = [tuple(r) for r in langid.identify(rows.checkpoint()).select("doc_id", "held_out", "lang_pred", F.round("score", 9)).collect()]
+        same(got, [(d, h, p, round(x, 9)) for d, h, p, x in brute.op7([tuple(r) for r in rows.select("doc_id", "text", "lang").collect()])])
+    free = [i for i in range(20) if zlib.crc32(str(i).encode()) % 3 != 1][:3]
+    tied = spark.createDataFrame([(free[0], "abc abc", "yy"), (free[1], "abc abc", "xx"), (free[2], "abc", None)], "doc_id bigint, text string, lang string")
+    assert {r["lang_pred"] for r in langid.identify(tied).collect()} == {"xx"}  # equal distances: the lesser name
 
 
 def test_language(spark, empty):
@@ -145,9 +217,19 @@ def test_licenses(spark, docs, empty):
     got = licenses.digest(licenses.scan_licenses(docs)).collect()
     same([r[:6] for r in got], brute.op8(pairs()))
     assert licenses.scan_licenses(empty).count() == 0
-    near = licenses.TEMPLATES["isc"].split()
-    changed = spark.createDataFrame([(1, " ".join([*near[:8], "really", *near[8:]])), (2, " ".join(near[:6]))], "doc_id bigint, text string")
-    assert {r["doc_id"]: r["labels"] for r in licenses.digest(licenses.scan_licenses(changed)).collect()} == {1: "isc", 2: ""}
+    isc = licenses.TEMPLATES["isc"].split()
+    grams = [" ".join(isc[i : i + 3]) for i in range(0, len(isc) - 3, 3)]
+    mit = "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files".split()
+    texts = {
+        1: " ".join([*isc[:8], "really", *isc[8:]]), 2: " ".join(isc[:6]), 3: " filler ".join(grams), 4: " x y z ".join(" ".join(mit[i : i + 3]) for i in range(0, len(mit), 3)), 5: " ".join(isc) + "\n" + " ".join(isc),
+        6: "This work is licensed under the GNU General Public License, version 3.", 7: "GNU General Public License; version two", 8: "It is released under the BSD license and CC-BY-SA.", 9: "w " * 60_000 + licenses.TEMPLATES["mit"],
+    }
+    want = {1: "isc", 2: "", 3: "", 4: "", 5: "isc", 6: "gpl-3", 7: "", 8: "bsd,cc-by-sa", 9: "mit"}
+    found = licenses.scan_licenses(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").checkpoint())
+    assert {r["doc_id"]: r["labels"] for r in licenses.digest(found).collect()} == want
+    places = {r["doc_id"]: r["places"] for r in found.collect()}
+    assert [p["first_word"] for p in places[9]] == [60_000]
+    assert len(places[5]) == 2 and all(p["score"] == 1.0 for p in places[5])
 
 
 def test_suffix_dedup(docs, empty):
@@ -177,31 +259,42 @@ def test_induced_order_and_common_prefixes():
         assert common.tolist()[1:] == [shared(int(a), int(b)) for a, b in zip(places, places[1:], strict=False)]
 
 
-def test_mixture(spark, empty):
+def test_mixture(spark, empty, monkeypatch):
     rng = random.Random(6)
     rows = [(i, " ".join(["w"] * rng.randint(0, 30)), "en", "big" if i < 600 else ("mid" if i < 900 else None), 1) for i in range(1000)]
-    docs = spark.createDataFrame(rows, SCHEMA)
-    sizes = {}
-    for _, text, _, source, _ in rows:
-        n, t = sizes.get(source or "", (0, 0))
-        sizes[source or ""] = (n + 1, t + len(text.split()))
-    shares = {s.source: s for s in mixing.plan(sizes, block_docs=50)}
-    assert abs(mixing.entropy({k: s.weight for k, s in shares.items()}) / 1.0986122886681098 - mixing.ENTROPY) < 1e-9
-    got = mixing.mixture(docs, block_docs=50).collect()
-    for name, share in shares.items():
-        mine = [r for r in got if r["source"] == name]
-        assert 0 <= share.budget - sum(r["n_tokens"] for r in mine) <= 60
-        for epoch in range(share.passes):
-            assert sorted(r["doc_id"] for r in mine if r["epoch"] == epoch) == [d for d, _, _, s, _ in rows if (s or "") == name]
-        assert len({(r["doc_id"], r["epoch"]) for r in mine}) == len(mine)
-    again = mixing.mixture(docs, into=docs, block_docs=50)
-    plain = lambda rows: sorted((r["doc_id"], r["epoch"], r["block"]) for r in rows)
-    for part_docs in (1, 10, 40):  # narrowed by stretches or sorted at once: the same documents
-        assert plain(mixing.mixture(docs, block_docs=500, part_docs=part_docs).collect()) == plain(mixing.mixture(docs, block_docs=500).collect())
-    assert again.columns == docs.columns and sorted(r["doc_id"] for r in again.collect()) == sorted(r["doc_id"] for r in got)
+    rows += [(None, "no name", "en", "mid", 1), (None, None, "en", "mid", 1), (5, "w w", "en", "big", 1), (2000, "", "en", "no tokens", 1), (2001, "w " * 20_000, "en", "mid", 1)]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumns({"mark": F.lit(1), "stop": F.lit(2), "row": F.lit(3)})
+    for limit in (200_000, 0):  # the table of blocks is broadcast, or joined
+        monkeypatch.setattr(mixing, "BROADCAST_ROWS", limit)
+        for block_docs in (50, 500):
+            got = mixing.mixture(docs, block_docs=block_docs)
+            same(got.collect(), brute.mixture([(r[0], r[1], r[3]) for r in rows], block_docs=block_docs))
+            again = mixing.mixture(docs, into=docs, block_docs=block_docs)
+            assert again.columns == docs.columns and sorted(map(str, (r["doc_id"] for r in again.collect()))) == sorted(map(str, (r["doc_id"] for r in got.collect())))
+    for epoch in (0, 1, 2):  # a source's positions are a permutation of the documents that its epoch takes
+        mine = sorted(r["position"] for r in got.filter(f"source = 'big' AND epoch = {epoch}").collect())
+        assert mine == list(range(len(mine)))
     assert mixing.mixture(empty).count() == 0
-    assert mixing.temperature({"a": 900, "b": 10}, 910, target=1.0, max_repeats=2.0) < 1
-    assert mixing.repeats({"a": 900, "b": 10}, mixing.weights({"a": 900, "b": 10}, mixing.temperature({"a": 900, "b": 10}, 910, target=1.0, max_repeats=2.0)), 910) <= 2.0
+
+
+def test_temperature_meets_the_entropy_or_the_repetition_limit():
+    tokens = {"a": 9000, "b": 900, "c": 90, "none": 0}
+    spread = lambda tau: mixing.entropy(mixing.weights(tokens, tau))
+    assert spread(mixing.temperature(tokens, 9990, max_repeats=1e9)) == pytest.approx((spread(1) + math.log(3)) / 2)
+    assert spread(mixing.temperature(tokens, 9990, target=0.9, max_repeats=1e9)) == pytest.approx(0.9 * math.log(3))
+    assert mixing.temperature(tokens, 9990, target=0.1) == 1.0  # natural shares are spread enough
+    tau = mixing.temperature(tokens, 9990, closing=1.0)
+    assert 0 < tau < 1 and mixing.repeats(tokens, mixing.weights(tokens, tau), 9990) == pytest.approx(mixing.MAX_REPEATS)
+    with pytest.raises(ValueError):
+        mixing.temperature(tokens, 99_900)
+    assert mixing.temperature({"a": 5}, 5) == 1.0 and mixing.temperature({}, 0) == 1.0
+
+
+def test_mixture_changes_what_is_taken(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = mixing.op10(spark, SF)
+    taken = got.groupBy("doc_id").count()
+    assert taken.filter("count > 1").count() > 0 and docs.join(taken, "doc_id", "left_anti").count() > 0
 
 
 def test_pipeline(spark):
@@ -210,14 +303,62 @@ def test_pipeline(spark):
     items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     stage = dict(corpus_pipeline.STAGES)
     kept = stage["language"](spark, docs, SF)
-    assert kept.columns == docs.columns and kept.count() == len(rows)  # all of these have letters of a known language
+    assert kept.columns == docs.columns and kept.count() == len(rows)  # all of these are of a known language
     one = stage["near_dedup"](spark, docs, SF)
-    near = {r[2] for r in brute.op5([(k, r["text"]) for k, r in rows.items()])}
+    near = brute.near_copies([(k, r["text"]) for k, r in rows.items()])
     assert one.columns == docs.columns and {r["doc_id"] for r in one.collect()} == near
     clean = {r[0] for r in brute.op1([(k, rows[k]["text"]) for k in near], items) if not r[5]}
     assert {r["doc_id"] for r in stage["decontaminate"](spark, one, SF).collect()} == clean
-    out = corpus_pipeline.run(spark, SF).collect()
-    assert {r["doc_id"] for r in out} <= clean and len({r["start"] for r in out}) == len(out)
+    mixed = brute.mixture([(k, rows[k]["text"], rows[k]["source"]) for k in clean])
+    out = sorted((r["start"], r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in corpus_pipeline.run(spark, SF).collect())
+    taken = [(d, rows[d]["text"]) for d, *_ in mixed]
+    same([(d, s, n, c) for s, d, n, c in out], brute.op4(taken, token_orc.tokenizer_file()))
+
+
+def test_language_stage_rejects_noise_and_languages_that_it_has_not_learned(spark):
+    rng = random.Random(8)
+    noise = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz    ") for _ in range(400))
+    polish = "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem"
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = spark.createDataFrame([(10**6, noise, None, "s", 1), (10**6 + 1, polish, None, "s", 1), (10**6 + 2, "12 345 !", None, "s", 1), (10**6 + 3, None, None, "s", 1), (10**6 + 4, "", None, "s", 1)], SCHEMA)
+    kept = corpus_pipeline.language(spark, docs.select(*odd.columns).unionByName(odd), SF)
+    assert {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in docs.collect()}
+
+
+CLASHING = ("_language", "_hits", "_row", "_kept", "_c0", "row", "found", "value", "component_id", "hits", "src", "block", "mark", "n_tokens", "shard", "tie", "passes", "epoch", "a.b")
+
+
+def test_stages_carry_columns_of_any_name(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60).withColumns({c: F.concat(F.lit(f"{c} "), F.col("doc_id").cast("string")) for c in CLASHING})
+    docs = docs.checkpoint()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert rows and all(r[c] == f"{c} {r['doc_id']}" for r in rows for c in CLASHING), name
+    assert corpus_pipeline.tokens(spark, docs, SF).count() == 60
+
+
+def test_stages_on_nulls_empty_tables_and_repeated_rows(spark, empty):
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, SF).count() == 0, name
+    long = " ".join(f"word{i % 997}" for i in range(40_000))
+    rows = [(None, None, None, None, None), (None, "a b c", None, None, None), (None, "a b c", None, "z", None), (1, None, None, None, None), (2, "", None, "s", 1), (3, long, "en", None, 1), (3, long, "en", "y", 1), (4, long + " end", None, "s", 1)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    order = lambda some: sorted((tuple(r) for r in some), key=str)
+    one = order((r["doc_id"], r["source"]) for r in corpus_pipeline.near_dedup(spark, docs, SF).collect())
+    assert one == order([(None, None), (None, None), (1, None), (3, None)])  # the least other columns of repeated rows, null first; 2 and 4 are near 1 and 3
+    assert corpus_pipeline.decontaminate(spark, docs, SF).count() == len(rows)
+    assert corpus_pipeline.mix(spark, docs, SF).columns == docs.columns
+    assert corpus_pipeline.tokens(spark, docs, SF).count() == len(rows)
+    assert corpus_pipeline.language(spark, docs, SF).filter("text IS NULL OR text = ''").count() == 0
+
+
+def test_which_of_repeated_rows_stays_does_not_depend_on_the_partitions(spark):
+    docs = spark.createDataFrame([(1, "same text here", "en", s, n) for s in ("z", "y", "x") for n in (1, 2)] + [(2, "another", "en", "q", 1)], SCHEMA)
+    for parts in (1, 2, 5):
+        kept = simhash.one_of_each(docs.repartition(parts, "source", "n_chars")).collect()
+        assert sorted((r["doc_id"], r["source"], r["n_chars"]) for r in kept) == [(1, "x", 1), (2, "q", 1)]
 
 
 @pytest.mark.parametrize("name", sorted(oracle_sql()))
