@@ -198,8 +198,12 @@ def clusters(items: DataFrame, links: DataFrame, key: str, *, value: str | None
 
 
 def dense_labels(clustered: DataFrame, key: str) -> DataFrame:
-    """Clusters numbered from 0 by first appearance (a reporting step: it orders the distinct clusters)."""
-    named = clustered.select("cluster").distinct().withColumn("label", F.row_number().over(Window.orderBy("cluster")) - 1)
+    """Clusters numbered from 0 in the order of their least keys: clusters are dealt out by ranges, and a window adds up one row a range."""
+    ranged = clustered.select("cluster").distinct().repartitionByRange("cluster").sortWithinPartitions("cluster")
+    ranged = cut(ranged.select("cluster", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("place")))
+    before = ranged.groupBy("part").agg(F.count("*").alias("n"))
+    before = before.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    named = ranged.join(F.broadcast(before), "part").select("cluster", (F.col("before") + F.col("place")).cast("int").alias("label"))  # a row a partition
     return clustered.join(named, "cluster").select(key, "label")
 
 
