@@ -85,18 +85,19 @@ def sample_training_set(pool: DataFrame, n_per_class: int | None, sampling: str,
     rows = pool.filter(F.col(label).isNotNull())
     dark = round(n_per_class * darker_share)
     if sampling == "natural":
-        keys, want = [label], F.lit(n_per_class)
+        keys, want, most = [label], F.lit(n_per_class), n_per_class
         short = rows.groupBy(label).agg(F.count("*").alias("have")).filter(F.col("have") < n_per_class)
         said = F.format_string("%s has %d of %d", F.col(label).cast("string"), F.col("have"), F.lit(n_per_class))
     else:
-        keys, want = [label, band], F.when(F.col(band) == "darker", dark).otherwise(n_per_class - dark)
+        keys, want, most = [label, band], F.when(F.col(band) == "darker", dark).otherwise(n_per_class - dark), max(dark, n_per_class - dark)
         short = class_caps(rows, label=label, band=band).filter((F.col("darker") < dark) | (F.col("lighter") < n_per_class - dark))
         said = F.format_string("%s has %d darker, %d lighter", F.col(label).cast("string"), F.col("darker"), F.col("lighter"))
         rows = rows.filter(F.col(band).isin("lighter", "darker"))
     if found := [r[0] for r in short.orderBy(label).limit(5).select(said).collect()]:
         raise ValueError(f"too few rows: {'; '.join(found)}")
     order = Window.partitionBy(*keys).orderBy(uniform_key(seed, F.col(row_id)), row_id)
-    return rows.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= want).drop("_place").orderBy(uniform_key(seed, "order", F.col(row_id)), row_id)
+    # ``most`` is a constant, so each partition passes on no more than that of a class.
+    return rows.withColumn("_place", F.row_number().over(order)).filter((F.col("_place") <= most) & (F.col("_place") <= want)).drop("_place").orderBy(uniform_key(seed, "order", F.col(row_id)), row_id)
 
 
 def composition(rows: DataFrame, band: str = "band") -> DataFrame:

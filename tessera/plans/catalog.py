@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.portable import uniform_int
 from tessera.operators import audit, bootstrap, captions, colour, curve, dedup, labels, metrics, probe, records, reports, sampling, splits, tone
+from tessera.session import cut
 
 Query = Callable[[SparkSession, str], DataFrame]
 _FOUND: dict[str, Query] = {}
@@ -507,14 +508,14 @@ def classification_metrics(spark, d):
 
 @query(f"WITH {PF} SELECT setting, seed, band, round(auroc, 6) AS auroc, round(macro_f1, 6) AS macro_f1 FROM st JOIN sf USING (setting, seed, band)")
 def stratum_metrics(spark, d):
-    p = predictions(spark, d)
+    p = cut(predictions(spark, d))  # used three times
     return rounded(metrics.stratum_metrics(p, by=["setting", "seed"], classes=metrics.common_classes(p)))
 
 
 @query(f"""WITH {PF}, w AS (SELECT setting, seed, max(auroc) FILTER (WHERE band = 'lighter') AS l, max(auroc) FILTER (WHERE band = 'darker') AS k, min(auroc) AS wa, min(macro_f1) AS wf FROM st JOIN sf USING (setting, seed, band) GROUP BY 1, 2)
  SELECT setting, seed, round(l - k, 6) AS delta, CASE WHEN k < l THEN 'darker' ELSE 'lighter' END AS worst_group, round(wa, 6) AS worst_auroc, round(wf, 6) AS worst_f1, round(abs(l - k), 6) AS abs_delta FROM w""")
 def fairness_metrics(spark, d):
-    p = predictions(spark, d)
+    p = cut(predictions(spark, d))
     by = ["setting", "seed"]
     return rounded(metrics.fairness(metrics.stratum_metrics(p, by=by, classes=metrics.common_classes(p)), by=by))
 
@@ -530,7 +531,7 @@ _TAGS = "(SELECT s.* EXCLUDE (fst), unnest(list_filter([fst, CASE WHEN fst <> 'V
 @query(f"""WITH {pred_sql()}, {auroc_sql('ex', _TAGS, 'setting, seed, tag')}, w AS (SELECT setting, seed, max(auroc) FILTER (WHERE tag = 'I-II') AS a, max(auroc) FILTER (WHERE tag = 'III-IV') AS m, max(auroc) FILTER (WHERE tag = 'V-VI') AS h, max(auroc) FILTER (WHERE tag = 'LM') AS lm, max(auroc) FILTER (WHERE tag = 'MH') AS mh FROM ex GROUP BY 1, 2)
  SELECT setting, seed, round(a, 6) AS auroc_low, round(m, 6) AS auroc_middle, round(h, 6) AS auroc_high, round(a - h, 6) AS gap_primary, round(lm - h, 6) AS gap_middle_with_lighter, round(a - mh, 6) AS gap_middle_with_darker FROM w""")
 def external_gaps(spark, d):
-    return rounded(metrics.external_gaps(predictions(spark, d), by=["setting", "seed"]))
+    return rounded(metrics.external_gaps(cut(predictions(spark, d)), by=["setting", "seed"]))
 
 
 @query(f"WITH {pred_sql(3)}, {auroc_sql('wh', 's', 'setting, seed')} SELECT setting, round(avg(auroc), 6) AS auroc_mean, round(coalesce(stddev_samp(auroc), 0), 6) AS auroc_sd FROM wh GROUP BY 1")
@@ -556,7 +557,7 @@ def group_bootstrap_weights(spark, d):
 
 
 def _replicates(spark, d, settings, drop_missing):
-    p = predictions(spark, d, 1, settings)
+    p = cut(predictions(spark, d, 1, settings))
     raw = bootstrap.delta_replicates(p, bootstrap.group_weights(p, REPS), by=["setting", "seed"], classes=metrics.common_classes(p))
     return bootstrap.mean_over_seeds(raw, drop_missing=drop_missing)
 

@@ -66,6 +66,7 @@ def evaluate(predictions: DataFrame, *, n_boot: int = 2000, seed: int = 2026) ->
     """Point metrics over seeds, bootstrap intervals of the gap, paired tests of the ladder's comparisons with Holm's adjustment."""
     spark = predictions.sparkSession
     by = ["setting", "seed"]
+    predictions = cut(predictions)  # archives are read once
     point = metrics.evaluate(metrics.check_alignment(predictions, by), by=by)
     values = ["auroc", "macro_f1", "accuracy", "balanced_accuracy", "auroc_lighter", "auroc_darker", "delta", "abs_delta", "worst_auroc", "worst_f1"]
     weights = B.group_weights(predictions, n_boot, seed)
