@@ -6,33 +6,46 @@ every index entry has a Bloom filter on doc_id, so a lookup skips stripes and ro
 file is read stripe by stripe in parallel. The start of a document is the sum of the shards before it
 (one row a shard) and of the rows before it in its shard; no window spans the table.
 
-Encoding goes by pieces: a text is cut before each single space that a visible character follows,
+Encoding goes by pieces: a text is cut before each single space or line break between visible characters,
 which is always a boundary of the pre-tokenizer, and each distinct piece is encoded once a worker (a
-memo of at most ``_MEMO`` pieces, then begun anew). The ids are those of the whole text.
+memo of two generations of at most ``_MEMO`` pieces). A piece of letters is one unit of the pre-tokenizer and goes
+straight to the library's model; one of letters and closing marks is put together from the two, which is a
+boundary as well. The ids are those of the whole text.
 
 Null and empty texts have only the end id. Rows with a null doc_id come first; rows that share a
-doc_id follow each other in the order of their texts.
+doc_id follow each other in the order of a hash of their texts, and repeated rows each get a row. A very long text is
+encoded whole. No rows give no rows. Other columns are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
 
 import re
+import threading
+import time
 import uuid
 import zlib
+from array import array
 from functools import lru_cache
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm._arrow import texts
-from tessera.session import cut, shared_dir
+from tessera.llm._arrow import chunks, utf8
+from tessera.session import arrow_batches, cut, shared_dir
 
 END_ID = 0
-_MEMO = 1_000_000
-_CUT = re.compile(r" (?=\S)")
+_MEMO = 200_000
+#: Documents that a Python worker takes at once.
+BATCH = 2_000
+#: Bytes of text that are cut into pieces at once.
+_CHUNK = 2 << 20
+#: Seconds after which an idle worker's memo is dropped.
+_IDLE_S = 3.0
+_CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
+_MARKS = ".,;:!?)"
 _SPECIAL = "<|"
 
 
@@ -42,12 +55,35 @@ def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+class _Spaced(Exception):
+    """A piece that follows white space, or is some."""
+
+
+class _Memo(dict):
+    """Piece -> ids, learned when asked for. At ``_MEMO`` pieces a new generation begins; the last one is kept, and what is asked for again moves over."""
+
+    def __init__(self, learn) -> None:
+        self.learn, self.last = learn, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.last.get(piece)
+        if ids is None:
+            ids = self.learn(piece)
+        if len(self) >= _MEMO:
+            self.last = dict(self)
+            self.clear()
+        self[piece] = ids
+        return ids
+
+
 class Encoder:
     """Ids of whole texts by the tokenizers library, with a bounded memo of pieces.
 
-    A piece is kept without the space before it. It begins with a visible character and has no space within.
+    A piece is kept without the space before it, or with the line break before it. It has no other white space that cuts.
     """
 
+    busy = False
+
     def __init__(self, file: str) -> None:
         import os
 
@@ -55,53 +91,104 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
-        mark = self.tokenizer.encode(" ", add_special_tokens=False).tokens[0]
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.opens = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that begin with a space
-        self.opens[[i for t, i in vocabulary.items() if t.startswith(mark)]] = True
-        self.memo: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        # The model reads bytes as visible characters: printable ones stand for themselves, the others follow from 256 on.
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.visible = {b: b for b in printable} | {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(printable)))}
+        self.line = self.plain("\n")
+        self.memo, self.tails = _Memo(self.learn), _Memo(self.plain)
+        self.used = time.monotonic()
+        threading.Thread(target=self.watch, daemon=True).start()
+
+    def watch(self) -> None:
+        """Drop a memo that is not in use: workers outlive their tasks, and others run in them next."""
+        while True:
+            time.sleep(1)
+            if self.memo and not self.busy and time.monotonic() - self.used > _IDLE_S:
+                self.memo = _Memo(self.learn)
 
     def plain(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
-    def learn(self, pieces: list[str]) -> None:
-        """Encode new pieces side by side; each has one space, before it, so its ids begin where an id opens with a space."""
-        for low in range(0, len(pieces), 8192):
-            some = pieces[low : low + 8192]
-            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            at = np.flatnonzero(self.opens[ids]).tolist()
-            if len(at) == len(some):
-                whole = ids.tobytes()
-                self.memo.update((p, whole[4 * a : 4 * b]) for p, a, b in zip(some, at, [*at[1:], len(ids)], strict=True))
-            else:
-                self.memo.update((p, self.plain(" " + p)) for p in some)
+    def unit(self, text: str) -> bytes:
+        """Ids of one unit of the pre-tokenizer."""
+        return array("I", [t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(self.visible))]).tobytes()
+
+    def word(self, text: str, space: str) -> bytes:
+        """Ids of a piece: letters are one unit, letters and closing marks two."""
+        if text.isalpha():
+            return self.unit(space + text)
+        stem = text.rstrip(_MARKS)
+        if len(stem) < len(text) and stem.isalpha():
+            return (self.memo[stem] if space else self.unit(stem)) + self.tails[text[len(stem) :]]
+        return self.plain(space + text)
+
+    def learn(self, piece: str) -> bytes:
+        if piece[:1] == "\n":
+            if len(piece) == 1 or piece[1].isspace():
+                raise _Spaced
+            return self.line + self.word(piece[1:], "") if piece[1].isalpha() else self.plain(piece)
+        if not piece or piece[0].isspace():
+            raise _Spaced
+        return self.word(piece, " ")
 
     def slowly(self, text: str) -> bytes:
         """Of a text with runs of white space or special tokens."""
         if _SPECIAL in text:
             return self.plain(text)
         first, *rest = _CUT.split(text)
-        return (self.plain(first) if first else b"") + b"".join([self.memo.get(p) or self.plain(" " + p) for p in rest])
-
-    def encode(self, batch: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        cuts = [[] if _SPECIAL in text else text.split(" ") for text in batch]
-        seen: set[str] = set().union(*cuts)
-        new = seen.difference(self.memo)
-        odd = {p for p in new if not p or p[0].isspace()}  # these follow or are runs of white space
-        new -= odd
-        if len(self.memo) + len(new) > _MEMO:  # begin anew, with all that these texts need
-            self.memo.clear()
-            new = seen - odd
-        self.learn(list(new))
-        known = self.memo.__getitem__
-        out = []
-        for text, pieces in zip(batch, cuts, strict=True):
-            if not pieces or odd and not odd.isdisjoint(pieces):
-                out.append(self.slowly(text))
-            else:
-                out.append((self.plain(pieces[0]) if pieces[0] else b"") + b"".join(map(known, islice(pieces, 1, None))))
-        return out
+        return (self.plain(first) if first else b"") + b"".join([self.memo[p[1:] if p[0] == " " else p] for p in rest])
+
+    def encoded(self, text: str) -> bytes:
+        """Ids of one text."""
+        if _SPECIAL in text:
+            return self.plain(text)
+        first, *rest = text.replace("\n", " \n").split(" ")
+        try:
+            return (self.word(first, "") if first else b"") + b"".join(map(self.memo.__getitem__, rest))
+        except _Spaced:
+            return self.slowly(text)
+
+    def encode(self, text: pa.Array, end: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, number of each), with ``end`` after every text. Distinct pieces are looked up once and the ids gathered."""
+        self.busy = True
+        try:
+            lists = pc.split_pattern(pc.replace_substring(text, "\n", " \n"), " ")
+            offsets = lists.offsets.to_numpy()
+            pieces = lists.flatten().dictionary_encode()
+            codes, known, spaced = pieces.indices.to_numpy().astype(np.int64), [], []
+            for piece in pieces.dictionary.to_pylist():
+                try:
+                    known.append(self.memo[piece])
+                    spaced.append(False)
+                except _Spaced:
+                    known.append(b"")
+                    spaced.append(True)
+            n, first = len(text), offsets[:-1]
+            inner = np.array(spaced, bool)[codes]
+            inner[first] = False  # what a text begins with has no space before it
+            slow = np.add.reduceat(inner, first, dtype=np.int64) > 0
+            slow |= pc.match_substring(text, _SPECIAL).to_numpy(zero_copy_only=False)
+            # Each text's first piece, or a slow text as a whole, is an entry of its own; so is the end.
+            entries = len(known) + 2
+            known += [b"", end]
+            for i, at in enumerate(codes[first].tolist()):
+                if slow[i]:
+                    known.append(self.encoded(text[i].as_py()))
+                else:
+                    piece = pieces.dictionary[at].as_py()
+                    known.append(self.word(piece, "") if piece else b"")
+            codes[np.repeat(slow, np.diff(offsets))] = entries - 2
+            codes[first] = entries + np.arange(n)
+            codes = np.insert(codes, offsets[1:], entries - 1)
+            sizes = np.array([len(x) // 4 for x in known], np.int64)
+            starts = np.cumsum(sizes) - sizes
+            each = sizes[codes]
+            before = np.cumsum(each) - each
+            at = np.repeat(starts[codes] - before, each) + np.arange(int(each.sum()))
+            return np.frombuffer(b"".join(known), "<u4")[at], np.add.reduceat(each, first + np.arange(n))
+        finally:
+            self.busy, self.used = False, time.monotonic()
 
 
 @lru_cache(maxsize=2)
@@ -112,23 +199,16 @@ def encoder(file: str) -> Encoder:
 def encode_udf(file: str, end_id: int = END_ID):
     @F.arrow_udf("array<int>")
     def encode(text: pa.Array) -> pa.Array:
-        tail, parts, sizes, held, size = np.array([end_id], "<u4").tobytes(), [], [], [], 0
+        end, ids, sizes = np.array([end_id], "<u4").tobytes(), [np.zeros(0, "<u4")], [np.zeros(1, np.int64)]
         coder = encoder(file)
-
-        def flush() -> None:
-            for ids in coder.encode(held):
-                parts.append(ids + tail)
-                sizes.append(len(ids) // 4 + 1)
-
-        for t in texts(text):
-            held.append(t.decode("utf-8", "replace"))
-            size += len(t)
-            if size > 1 << 19:
-                flush()
-                held, size = [], 0
-        flush()
-        values = np.frombuffer(b"".join(parts), "<i4")
-        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.array(values, pa.int32()))
+        if text.null_count:
+            text = text.fill_null("")
+        _, offsets = utf8(text)
+        for i, j in chunks(offsets, _CHUNK):
+            found, n = coder.encode(text.slice(i, j - i), end)
+            ids.append(found)
+            sizes.append(n)
+        return pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(sizes)), pa.int32()), pa.array(np.concatenate(ids).view("<i4"), pa.int32()))
 
     return encode.asNondeterministic()
 
@@ -136,17 +216,18 @@ def encode_udf(file: str, end_id: int = END_ID):
 def write_tokens(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str = "text", file: str | None = None, end_id: int = END_ID, shards: int | None = None, row_group: int = 10_000, stripe_bytes: int = 64 << 20) -> None:
     """Encode ``docs`` and write (shard, row, doc_id, ids) in ascending doc_id order as ORC at ``path``."""
     spark = docs.sparkSession
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs._jdf.rdd().getNumPartitions())  # grows with the input's splits
     keyed = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     keyed = keyed.withColumn("tie", F.xxhash64("text"))
     dealt = keyed.repartitionByRange(shards, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text")
     encode = encode_udf(file or tokenizer_file(), end_id)
     out = dealt.select("doc_id", encode("text").alias("ids"))
     out = out.select(F.spark_partition_id().alias("shard"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("row"), "doc_id", "ids")
-    (
-        out.write.format("orc").option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").option("orc.create.index", "true")
-        .option("orc.row.index.stride", str(row_group)).option("orc.stripe.size", str(stripe_bytes)).option("compression", "zstd").save(path)
-    )
+    with arrow_batches(spark, BATCH):
+        (
+            out.write.format("orc").option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").option("orc.create.index", "true")
+            .option("orc.row.index.stride", str(row_group)).option("orc.stripe.size", str(stripe_bytes)).option("compression", "zstd").save(path)
+        )
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -165,7 +246,8 @@ def _summary(ids: pa.Array) -> pa.Array:
 def token_index(spark: SparkSession, path: str) -> DataFrame:
     """Per document, from the files: doc_id, start, n_tokens, ids_crc32."""
     rows = read_tokens(spark, path).select("shard", "row", "doc_id", F.arrow_udf(_summary, "struct<n_tokens:bigint,ids_crc32:bigint>").asNondeterministic()("ids").alias("_s")).select("shard", "row", "doc_id", "_s.*")
-    rows = cut(rows)
+    with arrow_batches(spark, BATCH):
+        rows = cut(rows)
     totals = rows.groupBy("shard").agg(F.sum("n_tokens").alias("_n"))
     before = totals.select("shard", (F.sum("_n").over(Window.orderBy("shard")) - F.col("_n")).alias("_before"))  # a row a shard
     within = F.sum("n_tokens").over(Window.partitionBy("shard").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens")
