@@ -13,7 +13,9 @@ not every pair, so the output is linear whatever the size of a group; components
 star rounds over the checkpointed links.
 
 A text without words has fingerprint zero and links like any other; null is such a text. Every input
-row gets a row, repeated ones included; a null doc_id never names a component unless it is alone.
+row gets a row, repeated ones included; a null doc_id never names a component unless it is alone. A bit that
+exactly half the shingles have is 0. A very long text is folded whole, some shingles at a time. No rows give no rows.
+Other columns are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ from tessera.operators.components import connected_components
 from tessera.session import cut
 
 SHINGLE, SEED, BUDGET = 3, 42, 3
+#: Ids up to this number are broadcast, more are joined.
+MOST_NAMES = 2_000_000
 _LEAF = 32
 _FRONTIER = 1 << 20
 
@@ -280,12 +284,20 @@ def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
 
     Rows that repeat a doc_id with the same text are one document, and the one whose other columns come
     first, read as text and in their order, stays. Documents without a doc_id cannot be named by a component;
-    they stay, one of each text. Columns of any name are carried. No rows give no rows.
+    they stay, one of each text. Columns of any name are carried. No rows give no rows. Texts are shuffled
+    only where ids repeat or more than ``MOST_NAMES`` documents go.
     """
-    found = search(docs, doc_id=doc_id, text=text, **options)
-    kept = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    rows = packed(docs)
-    rows = rows.select(F.col(f"row.`{doc_id}`").alias("doc_id"), F.col(f"row.`{text}`").alias("text"), "row")
+    found = cut(search(docs, doc_id=doc_id, text=text, **options))
+    per = found.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("stays"), F.count("*").alias("n"))
+    odd = cut(per.filter("NOT stays OR n > 1").select("doc_id", "stays"))  # all other documents stay as they are
+    few = odd.count() <= MOST_NAMES
+    held = lambda ids: F.broadcast(ids) if few else ids
+    rows = packed(docs).withColumn("doc_id", F.col(f"row.`{doc_id}`"))
     others = [F.col(f"row.`{c}`").cast("string") for c in docs.columns if c not in (doc_id, text)] or [F.lit(0)]
-    once = lambda some: some.groupBy("doc_id", "text").agg(F.min_by("row", F.struct(*others)).alias("row")).select("row.*")
-    return once(rows.join(kept, "doc_id", "left_semi")).unionByName(once(rows.filter(F.col("doc_id").isNull())))
+    once = lambda some: some.groupBy("doc_id", F.col(f"row.`{text}`").alias("text")).agg(F.min_by("row", F.struct(*others)).alias("row")).select("row.*")
+    out = rows.filter(F.col("doc_id").isNotNull()).join(held(odd.select("doc_id")), "doc_id", "left_anti").select("row.*")
+    if not odd.filter("stays").isEmpty():
+        out = out.unionByName(once(rows.join(held(odd.filter("stays").select("doc_id")), "doc_id", "left_semi")))
+    if not found.filter(F.col("doc_id").isNull()).isEmpty():
+        out = out.unionByName(once(rows.filter(F.col("doc_id").isNull())))
+    return out
