@@ -225,7 +225,7 @@ class BucketQueue:
     Tuples beyond ``limit`` bytes go to a file in the task's own scratch folder, which is deleted with the queue.
     """
 
-    def __init__(self, symbols: int, limit: int = 64 << 20) -> None:
+    def __init__(self, symbols: int, limit: int = 2 << 20) -> None:
         self.parts: list[list] = [[] for _ in range(symbols)]
         self.limit, self.held, self.file = limit, 0, None
 
@@ -282,7 +282,7 @@ def _rank(values: np.ndarray) -> tuple[np.ndarray, int]:
 class Sorter:
     """Order and common prefixes (at most ``cap``) of all suffixes of a string of small numbers that ends in its only 0."""
 
-    def __init__(self, text: np.ndarray, cap: int = LENGTH, limit: int = 64 << 20) -> None:
+    def __init__(self, text: np.ndarray, cap: int = LENGTH, limit: int = 2 << 20) -> None:
         self.t, self.cap, self.limit, self.n = text, cap, limit, len(text)
         self.symbols = int(text.max()) + 1
         step = np.sign(np.diff(text.astype(np.int32))).astype(np.int8)
@@ -446,7 +446,7 @@ class Sorter:
         return np.concatenate(places), np.concatenate(commons)
 
 
-def repeated(pieces: list[bytes], length: int = LENGTH, limit: int = 64 << 20) -> list[np.ndarray]:
+def repeated(pieces: list[bytes], length: int = LENGTH, limit: int = 2 << 20) -> list[np.ndarray]:
     """For each piece, which of its ``len - length + 1`` starts begin a string that begins elsewhere too."""
     sizes = np.array([len(p) for p in pieces], np.int64)
     starts = np.cumsum(sizes + 1) - (sizes + 1)
