@@ -29,19 +29,16 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm._arrow import chunks, utf8
+from tessera.llm._arrow import texts
 from tessera.session import arrow_batches, cut, shared_dir
 
 END_ID = 0
-_MEMO = 200_000
+_MEMO = 150_000
 #: Documents that a Python worker takes at once.
-BATCH = 2_000
-#: Bytes of text that are cut into pieces at once.
-_CHUNK = 2 << 20
+BATCH = 1_000
 #: Seconds after which an idle worker's memo is dropped.
 _IDLE_S = 3.0
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
@@ -149,44 +146,11 @@ class Encoder:
         except _Spaced:
             return self.slowly(text)
 
-    def encode(self, text: pa.Array, end: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, number of each), with ``end`` after every text. Distinct pieces are looked up once and the ids gathered."""
+    def encode(self, batch: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
         self.busy = True
         try:
-            lists = pc.split_pattern(pc.replace_substring(text, "\n", " \n"), " ")
-            offsets = lists.offsets.to_numpy()
-            pieces = lists.flatten().dictionary_encode()
-            codes, known, spaced = pieces.indices.to_numpy().astype(np.int64), [], []
-            for piece in pieces.dictionary.to_pylist():
-                try:
-                    known.append(self.memo[piece])
-                    spaced.append(False)
-                except _Spaced:
-                    known.append(b"")
-                    spaced.append(True)
-            n, first = len(text), offsets[:-1]
-            inner = np.array(spaced, bool)[codes]
-            inner[first] = False  # what a text begins with has no space before it
-            slow = np.add.reduceat(inner, first, dtype=np.int64) > 0
-            slow |= pc.match_substring(text, _SPECIAL).to_numpy(zero_copy_only=False)
-            # Each text's first piece, or a slow text as a whole, is an entry of its own; so is the end.
-            entries = len(known) + 2
-            known += [b"", end]
-            for i, at in enumerate(codes[first].tolist()):
-                if slow[i]:
-                    known.append(self.encoded(text[i].as_py()))
-                else:
-                    piece = pieces.dictionary[at].as_py()
-                    known.append(self.word(piece, "") if piece else b"")
-            codes[np.repeat(slow, np.diff(offsets))] = entries - 2
-            codes[first] = entries + np.arange(n)
-            codes = np.insert(codes, offsets[1:], entries - 1)
-            sizes = np.array([len(x) // 4 for x in known], np.int64)
-            starts = np.cumsum(sizes) - sizes
-            each = sizes[codes]
-            before = np.cumsum(each) - each
-            at = np.repeat(starts[codes] - before, each) + np.arange(int(each.sum()))
-            return np.frombuffer(b"".join(known), "<u4")[at], np.add.reduceat(each, first + np.arange(n))
+            return [self.encoded(text) for text in batch]
         finally:
             self.busy, self.used = False, time.monotonic()
 
@@ -199,16 +163,23 @@ def encoder(file: str) -> Encoder:
 def encode_udf(file: str, end_id: int = END_ID):
     @F.arrow_udf("array<int>")
     def encode(text: pa.Array) -> pa.Array:
-        end, ids, sizes = np.array([end_id], "<u4").tobytes(), [np.zeros(0, "<u4")], [np.zeros(1, np.int64)]
+        tail, parts, sizes, held, size = np.array([end_id], "<u4").tobytes(), [], [], [], 0
         coder = encoder(file)
-        if text.null_count:
-            text = text.fill_null("")
-        _, offsets = utf8(text)
-        for i, j in chunks(offsets, _CHUNK):
-            found, n = coder.encode(text.slice(i, j - i), end)
-            ids.append(found)
-            sizes.append(n)
-        return pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(sizes)), pa.int32()), pa.array(np.concatenate(ids).view("<i4"), pa.int32()))
+
+        def flush() -> None:
+            for ids in coder.encode(held):
+                parts.append(ids + tail)
+                sizes.append(len(ids) // 4 + 1)
+
+        for t in texts(text):
+            held.append(t.decode("utf-8", "replace"))
+            size += len(t)
+            if size > 1 << 19:
+                flush()
+                held, size = [], 0
+        flush()
+        values = np.frombuffer(b"".join(parts), "<i4")
+        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.array(values, pa.int32()))
 
     return encode.asNondeterministic()
 
