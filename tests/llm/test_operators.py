@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm import decontam, langid, licenses, line_dedup, mixing, quality, secret_scan, simhash, suffix_dedup, token_orc
+from tessera.llm import decontam, langid, licenses, line_dedup, mixing, near_copies, quality, secret_scan, simhash, suffix_dedup, token_orc
 from tessera.llm.queries import oracle_sql, queries
 from tests.llm import brute
 
@@ -402,3 +402,42 @@ def test_near_dedup_stage_keeps_one_of_jaccard_neighbours(spark):
     docs = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in named], SCHEMA)
     assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()} == want
     assert want < {r["doc_id"] for r in simhash.one_of_each(docs).collect()}  # 3 bits of the sketch reach fewer
+
+
+@pytest.mark.parametrize("crowd", [0, 300, 100_000])
+def test_near_dedup_of_many_variants_is_exact_and_compares_few(spark, monkeypatch, crowd):
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(400)]
+    prose = lambda n: [rng.choice(words) for _ in range(n)]
+
+    def edited(text, edits):
+        copy = list(text)
+        for _ in range(edits):
+            at, how = rng.randrange(len(copy)), rng.random()
+            copy[at : at + 1] = [] if how < 0.2 else [rng.choice(words), copy[at]] if how < 0.4 else [rng.choice(words)]
+        return copy
+
+    base, far = prose(150), []
+    for _ in range(120):  # most are too far from the base and from each other
+        far.append(edited(base, rng.choice([1, 3, 4, 5, 6])))
+    variants = far + [edited(t, rng.choice([1, 2, 3, 4])) for t in far[:40]]  # and some are near such a one only
+    passage, short = prose(40), prose(12)
+    others = [edited(prose(rng.choice([3, 8, 60])) + passage, 1) for _ in range(40)] + [edited(short, rng.choice([0, 1, 2])) for _ in range(20)] + [prose(n) for n in (2, 30, 90)]
+    rows = variants + others
+    rng.shuffle(rows)
+    named = [(i, " ".join(r)) for i, r in enumerate(rows)] + [(1000, ""), (1001, None)]
+    met, find = [], near_copies.near_links
+
+    def counted(firsts, verified, *args, **options):
+        def seen(pairs):
+            met.append(pairs.count())
+            return verified(pairs)
+
+        return find(firsts, seen, *args, **options)
+
+    monkeypatch.setattr(near_copies, "near_links", counted)
+    monkeypatch.setattr(near_copies, "CROWD", crowd, raising=False)
+    docs = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in named], SCHEMA)
+    assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()} == brute.near_copies(named)
+    if crowd == 300:
+        assert sum(met) < 3 * len(rows)  # 12,720 pairs of variants
