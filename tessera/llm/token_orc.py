@@ -92,7 +92,7 @@ class Encoder:
         # The model reads bytes as visible characters: printable ones stand for themselves, the others follow from 256 on.
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.visible = {b: b for b in printable} | {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(printable)))}
-        self.line = self.plain("\n")
+        self.space, self.line = chr(self.visible[32]), self.plain("\n")
         self.memo, self.tails = _Memo(self.learn), _Memo(self.plain)
         self.used = time.monotonic()
         threading.Thread(target=self.watch, daemon=True).start()
@@ -109,7 +109,11 @@ class Encoder:
 
     def unit(self, text: str) -> bytes:
         """Ids of one unit of the pre-tokenizer."""
-        return array("I", [t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(self.visible))]).tobytes()
+        return self.seen(text.encode().decode("latin-1").translate(self.visible))
+
+    def seen(self, text: str) -> bytes:
+        """Ids of one unit in visible characters."""
+        return array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
 
     def word(self, text: str, space: str) -> bytes:
         """Ids of a piece: letters are one unit, letters and closing marks two."""
@@ -121,6 +125,8 @@ class Encoder:
         return self.plain(space + text)
 
     def learn(self, piece: str) -> bytes:
+        if piece.isalpha():
+            return self.seen(self.space + piece) if piece.isascii() else self.unit(" " + piece)
         if piece[:1] == "\n":
             if len(piece) == 1 or piece[1].isspace():
                 raise _Spaced

@@ -132,6 +132,14 @@ def test_tokens(spark, docs, empty):
     assert token_orc.tokenised(repeated).agg(F.max(F.col("start") + F.col("n_tokens"))).first()[0] == 2 * sum(r[2] for r in brute.op4(rows, token_orc.tokenizer_file()))
 
 
+def test_pieces_of_ascii_letters_go_to_the_model_as_they_are(monkeypatch):
+    coder = token_orc.Encoder(token_orc.tokenizer_file())
+    pieces, converted, unit = ["the", "Xqzvab", "a", "éré", "naïve", "日本", "ª", "end.", "x1"], [], coder.unit
+    monkeypatch.setattr(coder, "unit", lambda text: (converted.append(text), unit(text))[1])
+    assert [coder.learn(p) for p in pieces] == [coder.plain(" " + p) for p in pieces]
+    assert not [text for text in converted if text.isascii()]
+
+
 @pytest.mark.parametrize("hot", [20_000, 1])
 def test_simhash(docs, empty, hot):
     got = simhash.near_duplicates(docs, hot=hot).collect()
