@@ -1,6 +1,7 @@
 """Every operator against a plain version, on edge cases: nulls, empty and long texts, ties, repeated rows, clashing columns, empty tables."""
 
 import hashlib
+import itertools
 import math
 import random
 import zlib
@@ -140,6 +141,47 @@ def test_pieces_of_ascii_letters_go_to_the_model_as_they_are(monkeypatch):
     assert not [text for text in converted if text.isascii()]
 
 
+@pytest.mark.parametrize("bits", [20, 5])
+def test_ids_of_pieces_are_those_of_the_whole_text(bits):
+    """Also with a table of 32 places, where nearly every piece takes the place of another."""
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    parts = [*"   \n\n\t\r\x00\x1c\x7f.,)$_1-", "a", "the", "Xq", "é", "ñ", "×", "÷", "ǅ", "日本", "ª", "½", "…", "»", "’", "'s", "'t", "%%%", "\xa0", "\x85", "\u2003", "\u2028", "\u3000", "\u200b", "\u180e", "\u0301", "😀", "<|", "<|endoftext|>", "w" * 30, "Ġ", "Ċ"]
+    coder = token_orc.Encoder(token_orc.tokenizer_file(), bits)
+    for size in (1, 3, 9, 200):
+        some = ["".join(rng.choices(parts, k=rng.randint(0, size))) for _ in range(300)]
+        ids, sizes = coder.encode(pa.array(["unseen", *some]).slice(1), 7)
+        ends = sizes.cumsum().tolist()
+        got = [ids[b - n : b].tolist() for b, n in zip(ends, sizes.tolist(), strict=True)]
+        assert got == [[*coder.tokenizer.encode(t, add_special_tokens=False).ids, 7] for t in some] and len(ids) == ends[-1]
+
+
+def test_known_pieces_do_not_go_to_the_library_again(monkeypatch):
+    """More pieces than two generations of the memo that was there before (300,000), which learned all of them again."""
+    import pyarrow as pa
+
+    coder, learned = token_orc.Encoder(token_orc.tokenizer_file()), []
+    spaced, fresh = coder.spaced, coder.fresh
+    monkeypatch.setattr(coder, "spaced", lambda pieces: (learned.extend(pieces), spaced(pieces))[1])
+    monkeypatch.setattr(coder, "fresh", lambda piece: (learned.append(piece), fresh(piece))[1])
+    words = ["".join(w) for w in itertools.product("abcdefghijklmnopqrstuv", "aeiou", "bcdfghklmn", "aeiou", "lmnrstvwxz", "aeiouy")][:320_000]
+    texts = pa.array([" ".join(words[i : i + 1000]) for i in range(0, len(words), 1000)])
+    first = coder.encode(texts, 0)
+    once = len(learned)
+    again = coder.encode(texts, 0)
+    assert once == len(set(learned)) >= len(words) - 1000 and len(learned) - once < once // 5
+    assert all((a == b).all() for a, b in zip(first, again, strict=True))
+
+
+def test_texts_to_encode_may_be_null_or_not_utf8():
+    import pyarrow as pa
+
+    odd = pa.Array.from_buffers(pa.string(), 3, [None, pa.py_buffer(b"\x00\x00\x00\x00\x04\x00\x00\x00\x04\x00\x00\x00\x06\x00\x00\x00"), pa.py_buffer(b"\xff ab ok")[:6]])
+    assert token_orc.valid(odd).to_pylist() == ["\ufffd ab", "", " o"]
+    assert token_orc.valid(pa.array([None, "a"])).to_pylist() == ["", "a"]
+
+
 @pytest.mark.parametrize("hot", [20_000, 1])
 def test_simhash(docs, empty, hot):
     got = simhash.near_duplicates(docs, hot=hot).collect()
