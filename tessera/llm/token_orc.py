@@ -10,7 +10,7 @@ Encoding goes by pieces, cut where the pre-tokenizer always cuts: before the las
 something visible follows, between that line break and what follows, and between a letter and an ASCII mark or digit. So the ids
 of a text are those of its pieces. Pieces of up to 23 bytes and 8 ids are kept in a table of ``2 ** _SLOT_BITS`` places a
 worker, 40 bytes each, which all pieces of a stretch are looked up in at once; a place holds the piece's own bytes and
-length, so a look-up is exact, and new pieces take the place of others once both of theirs are taken. What the table does not know goes to the library:
+length, so a look-up is exact, and new pieces take the place of others once both of theirs are taken. A small memo has larger pieces. What the table does not know goes to the library:
 letters, which are one unit of the pre-tokenizer, straight to its model (those after a space in one call a stretch), all else to the tokenizer.
 
 Null and empty texts have only the end id. Rows with a null doc_id come first; rows that share a
@@ -43,8 +43,8 @@ _SLOT_BITS = 20
 _IDS, _BYTES = 8, 23
 #: Pieces looked up at once, and bytes of texts encoded at once.
 _SLICE, _CHUNK = 1 << 16, 1 << 19
-#: Larger pieces that are kept, and the bytes of one.
-_LARGE, _LARGE_BYTES = 5_000, 200
+#: Pieces that are kept though the table does not take them, and the most bytes of one.
+_LARGE, _LARGE_BYTES = 30_000, 200
 #: Documents that a Python worker takes at once.
 BATCH = 1_000
 #: Seconds after which an idle worker's memo is dropped.
@@ -136,18 +136,6 @@ class Table:
         self.keys[place], self.ids[place] = keys[kept], ids[kept]
 
 
-class _Large(dict):
-    """The last pieces that the table does not take, two generations of at most ``_LARGE``."""
-
-    last: dict = {}
-
-    def keep(self, piece: bytes, ids: np.ndarray) -> None:
-        if len(self) >= _LARGE:
-            self.last = dict(self)
-            self.clear()
-        self[piece] = ids
-
-
 class Encoder:
     """Ids of whole texts by the tokenizers library, with a bounded table of pieces."""
 
@@ -173,7 +161,7 @@ class Encoder:
         self.begins = np.zeros(largest + 1, bool)
         self.begins[[i for token, i in vocab.items() if token[:1] == self.space]] = True
         self.filler, self.bits = (65_535 if largest < 65_535 else (1 << 32) - 1), _SLOT_BITS if bits is None else bits
-        self.table, self.large = None, _Large()
+        self.table, self.large = None, {}
         self.used = time.monotonic()
         threading.Thread(target=self.watch, daemon=True).start()
 
@@ -182,7 +170,7 @@ class Encoder:
         while True:
             time.sleep(1)
             if self.table and not self.busy and time.monotonic() - self.used > _IDLE_S:
-                self.table, self.large = None, _Large()
+                self.table, self.large = None, {}
 
     def plain(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
@@ -203,17 +191,22 @@ class Encoder:
 
     def fresh(self, piece: bytes) -> np.ndarray:
         """Ids of a piece that the table does not know."""
-        if len(piece) > _BYTES and (ids := self.large.get(piece)) is not None:
-            return ids
-        text = piece.decode("utf-8", "replace")
-        if text[0] == " ":
-            ids = self.learn(text[1:])
-        else:
-            ids = self.unit(text) if text.isalpha() else self.plain(text)
-        ids = np.frombuffer(ids, "<u4")
-        if _BYTES < len(piece) <= _LARGE_BYTES:
-            self.large.keep(piece, ids)
-        return ids
+        ids = self.large.get(piece)
+        if ids is None:
+            text = piece.decode("utf-8", "replace")
+            if text[0] == " ":
+                ids = self.learn(text[1:])
+            else:
+                ids = self.unit(text) if text.isalpha() else self.plain(text)
+            self.keep(piece, ids)
+        return np.frombuffer(ids, "<u4")
+
+    def keep(self, piece: bytes, ids: bytes) -> None:
+        """Keep a piece that the table does not take."""
+        if (len(piece) > _BYTES or len(ids) > 4 * _IDS) and len(piece) <= _LARGE_BYTES:
+            if len(self.large) >= _LARGE:
+                self.large.clear()
+            self.large[piece] = ids
 
     def spaced(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, number of each) of pieces that are a space and letters: each is one unit, whose first id alone begins with the space."""
@@ -247,12 +240,15 @@ class Encoder:
             if code is None and (code := other.get(piece)) is None:
                 first.append(i)
                 letters = piece[1:]
-                if piece[0] == 32 and n <= _BYTES and (letters.isalpha() or not letters.isascii() and letters.decode().isalpha()):
+                if piece[0] == 32 and piece not in self.large and (letters.isalpha() or not letters.isascii() and letters.decode().isalpha()):
                     code = spaced[piece] = len(spaced)
                 else:
                     code = other[piece] = -1 - len(other)
             codes.append(code)
         flat, counts = self.spaced(list(spaced))
+        names, ends = list(spaced), np.cumsum(counts)
+        for i in np.flatnonzero((counts > _IDS) | (np.fromiter(map(len, names), np.int64, len(names)) > _BYTES)).tolist():
+            self.keep(names[i], flat[ends[i] - counts[i] : ends[i]].tobytes())
         rest = [self.fresh(piece) for piece in other]
         flat, counts = np.concatenate([flat, *rest]), np.concatenate([counts, np.array([len(x) for x in rest], np.int64)])
         codes, first = np.array(codes), np.array(first)

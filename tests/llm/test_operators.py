@@ -174,6 +174,20 @@ def test_known_pieces_do_not_go_to_the_library_again(monkeypatch):
     assert all((a == b).all() for a, b in zip(first, again, strict=True))
 
 
+def test_pieces_that_the_table_does_not_take_are_kept(monkeypatch):
+    import pyarrow as pa
+
+    coder, learned = token_orc.Encoder(token_orc.tokenizer_file()), []
+    spaced, learn = coder.spaced, coder.learn
+    monkeypatch.setattr(coder, "spaced", lambda pieces: (learned.extend(pieces), spaced(pieces))[1])
+    monkeypatch.setattr(coder, "learn", lambda piece: (learned.append(piece), learn(piece))[1])
+    text = pa.array(["a здравствуйте 日本語日本 " + "q" * 40 + " 1" + "234567890" * 9])
+    first = coder.encode(text, 0)
+    assert len(learned) == 4 and first[0].tolist() == [*coder.tokenizer.encode(text[0].as_py(), add_special_tokens=False).ids, 0]
+    again = coder.encode(text, 0)
+    assert len(learned) == 4 and first[0].tolist() == again[0].tolist()
+
+
 def test_texts_to_encode_may_be_null_or_not_utf8():
     import pyarrow as pa
 
