@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from tessera.llm._arrow import LOWER, texts
 from tessera.llm._rows import packed
 from tessera.operators.components import connected_components
-from tessera.session import cut
+from tessera.session import cut, tidy
 
 SHINGLE, SEED, BUDGET = 3, 42, 3
 #: Ids up to this number are broadcast, more are joined.
@@ -287,9 +287,10 @@ def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     they stay, one of each text. Columns of any name are carried. No rows give no rows. Texts are shuffled
     only where ids repeat or more than ``MOST_NAMES`` documents go.
     """
-    found = cut(search(docs, doc_id=doc_id, text=text, **options))
-    per = found.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("stays"), F.count("*").alias("n"))
-    odd = cut(per.filter("NOT stays OR n > 1").select("doc_id", "stays"))  # all other documents stay as they are
+    with tidy(docs.sparkSession):
+        found = cut(search(docs, doc_id=doc_id, text=text, **options))
+        per = found.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("stays"), F.count("*").alias("n"))
+        odd = cut(per.filter("NOT stays OR n > 1").select("doc_id", "stays"))  # all other documents stay as they are
     few = odd.count() <= MOST_NAMES
     held = lambda ids: F.broadcast(ids) if few else ids
     rows = packed(docs).withColumn("doc_id", F.col(f"row.`{doc_id}`"))

@@ -48,6 +48,25 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def forget(df: DataFrame) -> None:
+    """Delete what ``cut`` wrote for ``df``, once nothing reads it any more."""
+    written = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    if written.isDefined():
+        discard(df.sparkSession, written.get())
+
+
+@contextmanager
+def tidy(spark: SparkSession):
+    """Within it, the shuffle files of a query go as it ends, not when the driver happens to collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 @contextmanager
 def arrow_batches(spark: SparkSession, rows: int):
     """Within it, plans that are run send at most ``rows`` rows to a Python worker at once, which bounds the memory of long texts."""

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import math
 import random
+import time
 import zlib
 
 import duckdb
@@ -505,3 +506,19 @@ def test_near_dedup_of_many_variants_is_exact_and_compares_few(spark, monkeypatc
     assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()} == brute.near_copies(named)
     if crowd == 300:
         assert sum(met) < 3 * len(rows)  # 12,720 pairs of variants
+
+
+def test_near_dedup_leaves_little_on_disk(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "PART", 100, raising=False)  # members go in several parts
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    files = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+    shuffled = lambda: {f.getName(): f.length() for f in (at.apply(i) for at in [files.getAllFiles()] for i in range(at.size())) if f.getName().startswith("shuffle_")}
+    held = shuffled()
+    found = near_copies.near_copies(docs)
+    for _ in range(40):  # files go in the background
+        left = sum(n for name, n in shuffled().items() if name not in held)
+        if not left:
+            break
+        time.sleep(0.25)
+    assert left == 0
+    assert {r["doc_id"] for r in found.filter("doc_id = component_id").collect()} == brute.near_copies([(r["doc_id"], r["text"]) for r in docs.collect()])
