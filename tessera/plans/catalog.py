@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.portable import uniform_int
 from tessera.operators import audit, bootstrap, captions, colour, curve, dedup, labels, metrics, probe, records, reports, sampling, splits, tone
-from tessera.session import cut
+from tessera.session import cut, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 _FOUND: dict[str, Query] = {}
@@ -593,8 +593,9 @@ def available_comparisons(spark, d):
 # ---- reports and captions
 
 
-def reported(spark, d):
+def reported(spark, d, dear=False):
     p = table(spark, d, "part")
+    p = spread(p, "p_partkey") if dear else p
     blank = lambda c, k: F.when(F.col("p_partkey") % k != 0, F.col(c))
     cols = {"case_id": F.col("p_partkey"), "disease_label": F.col("p_type"), "analysis_band": F.when(F.col("p_size") > 25, "darker").otherwise("lighter"), "anatomical_site": blank("p_brand", 3), "lesion_morphology": blank("p_name", 4), "diagnosis_certainty": blank("p_brand", 5), "source_dataset": F.col("p_brand")}
     return reports.build_report(p, cols).select("p_partkey", "report")
@@ -660,7 +661,7 @@ CHECK = f"""c0 AS (SELECT p_partkey, lower({_CAP} || CASE WHEN p_partkey % 2 = 0
 
 @query(f"WITH {CHECK} SELECT p_partkey, len(v) = 0 AS ok, array_to_string(v, '; ') AS violations FROM c3")
 def caption_check(spark, d):
-    rows = reported(spark, d)
+    rows = reported(spark, d, dear=True)
     said = F.concat(captions.template_caption(F.col("report")), F.when(F.col("p_partkey") % 2 == 0, F.lit(" Treatment: apply 5 mg on the face.")).otherwise(F.lit("")))
     return captions.check_captions(rows.withColumn("caption", said)).select("p_partkey", "ok", F.array_join("violations", "; ").alias("violations"))
 
@@ -672,7 +673,7 @@ def caption_routes(spark, d):
     def model(ask: str) -> str:
         return "A clinical photograph showing " + ("economy" if "broke these rules" in ask else "an erythematous plaque")
 
-    out = captions.generate_captions(reported(spark, d), model, key="p_partkey")
+    out = captions.generate_captions(reported(spark, d, dear=True), model, key="p_partkey")
     return out.groupBy("route", "flagged").agg(F.count("*").alias("n"))
 
 

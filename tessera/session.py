@@ -48,6 +48,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df``, a plain scan, dealt out by ``keys`` to all cores if it has fewer partitions: a small file may hold many rows, each of them dear."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+
+
 def forget(df: DataFrame) -> None:
     """Delete what ``cut`` wrote for ``df``, once nothing reads it any more."""
     written = df._jdf.queryExecution().logical().rdd().getCheckpointFile()

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.operators import captions
 from tessera.plans import catalog
 
 
@@ -48,3 +49,21 @@ def test_cosine_pairs_over_all_embeddings(spark, tmp_path):
 
 def test_caption_routes_over_all_of_part(spark, part):
     assert sum(r["n"] for r in catalog.queries()["caption_routes"](spark, part).collect()) == 120
+
+
+def test_captions_are_checked_on_all_cores(spark, part):
+    """A small file of many rows is one partition."""
+    assert catalog.queries()["caption_check"](spark, part).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_a_caption_is_cut_into_words_once(spark):
+    asked = captions.violations(F.col("caption"), F.col("report"))._jc.toString()
+    assert asked.count("regexp_extract_all") == 1
+
+
+def test_only_what_the_model_reads_goes_to_python(spark, part, monkeypatch):
+    """Reports stay in the JVM: whole rows are not handed over and back."""
+    plans, cut = [], captions.cut
+    monkeypatch.setattr(captions, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    assert sum(r["n"] for r in catalog.queries()["caption_routes"](spark, part).collect()) == 120
+    assert len(plans) == 2 and not any("MapInArrow" in p for p in plans)
